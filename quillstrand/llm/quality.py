@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstrand.llm.hashing import SPACE, scramble, word_hashes
+
 #: Hashed features.
 BITS = 18
 #: The model is fitted on at most about so many labelled rows, chosen by a hash of their id.
@@ -32,61 +34,28 @@ def features(text: str | None) -> np.ndarray:
     letter, capital, digit or the byte itself, the last three of them) makes features of its own, so junk marks
     at word ends and shouting are seen in any vocabulary. Further indicators tell how often words and pairs repeat.
     """
-    raw = np.frombuffer(b" " + (text or "").encode("utf-8", "replace") + b" ", np.uint8)
-    space = _SPACE[raw]
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    encoded = (text or "").encode("utf-8", "replace")
+    words, starts = word_hashes(encoded)
     if not len(starts):
         return np.zeros(0, np.int64)
-    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    raw = np.frombuffer(encoded, np.uint8)
+    ends = np.flatnonzero(np.diff(np.concatenate([SPACE[raw], [True]]).astype(np.int8)) > 0) + 1
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_CODE[_LOWER[raw]] * _power(len(raw)), out=sums[1:])
-        words = _scramble((sums[ends] - sums[starts]) * _inverse(len(raw))[starts])
         shape = _SHAPE[raw].astype(np.uint64)
         tail = shape[ends - 1] | shape[np.maximum(ends - 2, starts)] << np.uint64(8) | shape[np.maximum(ends - 3, starts)] << np.uint64(16)
         head = shape[starts] | shape[np.minimum(starts + 1, ends - 1)] << np.uint64(8)
-        parts = [words, _scramble(tail + np.uint64(1 << 40)), _scramble(head + np.uint64(1 << 41)), _scramble((tail << np.uint64(20)) + head + np.uint64(1 << 42))]
-        pairs = _scramble(words[:-1] * np.uint64(3) + words[1:])
+        parts = [words, scramble(tail + np.uint64(1 << 40)), scramble(head + np.uint64(1 << 41)), scramble((tail << np.uint64(20)) + head + np.uint64(1 << 42))]
+        pairs = scramble(words[:-1] * np.uint64(3) + words[1:])
         parts.append(pairs)
         # How often words and pairs come back, in tenths, together with the length by powers of two.
         n = len(words)
         tenths = [10 * len(np.unique(x)) // max(len(x), 1) for x in (words, pairs)] + [10 * int((words[1:] == words[:-1]).sum()) // n]
-        parts.append(_scramble(np.array([k << 32 | t << 8 | n.bit_length() for k, t in enumerate(tenths)] + [k << 36 | t for k, t in enumerate(tenths, 1)], np.uint64)))
+        parts.append(scramble(np.array([k << 32 | t << 8 | n.bit_length() for k, t in enumerate(tenths)] + [k << 36 | t for k, t in enumerate(tenths, 1)], np.uint64)))
     return np.unique((np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int64))
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[97:123], _SHAPE[65:91], _SHAPE[48:58], _SHAPE[128:] = 97, 65, 48, 97
-_CODE = np.random.Generator(np.random.PCG64(7)).integers(1 << 62, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def _table(name: str, base: int, n: int) -> np.ndarray:
-    if name not in _TABLES or len(_TABLES[name]) < n:
-        with np.errstate(over="ignore"):
-            _TABLES[name] = np.cumprod(np.full(max(n, 1 << 16), base, np.uint64)) * np.uint64(pow(base, -1, 1 << 64))
-    return _TABLES[name][:n]
-
-
-BASE = 0x9E3779B97F4A7C15
-
-
-def _power(n: int) -> np.ndarray:
-    return _table("power", BASE, n)
-
-
-def _inverse(n: int) -> np.ndarray:
-    return _table("inverse", pow(BASE, -1, 1 << 64), n)
-
-
-def _scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 def dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstrand.llm import embedding_dedup, exact_dedup, line_dedup, packing, pii, quality, sharding, token_store
+from quillstrand.llm import embedding_dedup, exact_dedup, jaccard_join, line_dedup, packing, pii, quality, sharding, token_store
 from quillstrand.shared import new_path
 
 #: Bytes of text in a shard. Production tables use 128 MB; the limit is low here so that small tables split, too.
@@ -23,6 +23,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), SHARD_LIMIT)
 
