@@ -5,7 +5,9 @@ is the same for both: of a set of n tokens the first n - ceil(t * n) + 1 are eno
 shared ones. The order puts rare tokens first, by a table of counts of bounded size that all documents fill; it
 steers the work only, as any order gives the same result. Sets that share such tokens meet in two ways:
 
-1. each with the one earlier set it shares most of them with; those links make most components;
+1. in a few rounds, each with one set that is central among those it shares tokens with (of all sets with the
+   token, the one with most of its own tokens shared, as the original of many edited copies has); those links
+   make most components;
 2. sets of different components that share a token, in tiles of neighbouring size bands, compared by bitmap
    signatures: a bit that only one of them has is a token that only one of them has, so bit counts bound the
    overlap from above.
@@ -24,12 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstrand.llm.components import connected_components
 from quillstrand.llm.hashing import scramble, word_hashes
-from quillstrand.shared import stash
+from quillstrand.shared import discard, stash
 
 WORDS = 5
 #: Text turned into tokens at a time.
@@ -38,7 +40,8 @@ CHUNK = 1 << 20
 PER_SLOT, LEAST_SLOTS, MOST_SLOTS = 64, 1 << 16, 1 << 24
 #: Tokens counted this often may be in large groups, and are joined; groups of the others are at most this large.
 HOT = 4096
-SIGNATURE_BITS, TILE = 1024, 512
+SIGNATURE_BITS, TILE = 2048, 512
+ROUNDS = 2
 SALT = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 2 * WORDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -274,11 +277,16 @@ def similar_documents(docs: DataFrame, share: int = 75, words: int = WORDS, id_c
     some = prefixes.where("doc_id is not null and set_key is not null")
     classes = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "cool", "hot")).alias("x")).select("set_key", F.col("x.doc_id").alias("rep"), "x.n", "x.cool", "x.hot")
     classes = stash(classes, "classes")
-    shared = stash(_shared_tokens(classes), "shared")
+    keys = stash(prefixes.select("doc_id", "n", "set_key"), "keys")
+    discard(prefixes)
+    every = stash(_shared_tokens(classes), "shared")
+    names = stash(classes.select("set_key", "rep"), "names")
+    discard(classes)
     # A set needs so many shared tokens to have a partner; smaller partners have fewer extra tokens.
     need = 1 + F.floor(F.ceil(F.col("n") * share / 100) / 32)
-    able = shared.groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= need).select("rep")
-    shared = stash(shared.join(able, "rep", "left_semi"), "able")
+    able = every.groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= need).select("rep", (F.col("c") / F.col("n")).alias("fill"))
+    shared = stash(every.join(able, "rep"), "able")
+    discard(every)
     table = _count_table(shared.select("rep").distinct(), min(1 << 23, max(1 << 14, _power_of_two(volume // 512))), lambda b: [scramble(b["rep"].to_numpy(zero_copy_only=False).astype(np.uint64))])
     wanted = spark.sparkContext.broadcast(table > 0)
     sets = rows.where("doc_id is not null").mapInArrow(_set_rows(wanted, words), "rep long, n long, signature binary, tokens binary")
@@ -289,40 +297,50 @@ def similar_documents(docs: DataFrame, share: int = 75, words: int = WORDS, id_c
         b = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tokens_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(_decide(share), "a long, b long")
 
-    met = shared.where("anchor <> rep").groupBy("rep", "anchor").agg(F.count("*").alias("c"))
-    best = met.groupBy("rep").agg(F.max_by("anchor", F.struct("c", "anchor")).alias("b")).select(F.col("rep").alias("a"), "b")
-    links = stash(decided(best), "links")
-    known = connected_components(links).withColumnsRenamed({"node": "rep", "component": "comp"})
-    mixed = stash(_mixed_tokens(shared, known), "mixed")
+    links = known = None
+    mixed = shared.withColumn("comp", F.col("rep"))
+    for _ in range(ROUNDS):
+        new = stash(decided(_central(mixed)), "links")
+        if new.isEmpty():
+            break
+        links = new if links is None else links.union(new)
+        known = connected_components(links).withColumnsRenamed({"node": "rep", "component": "comp"})
+        mixed = stash(_mixed_tokens(shared, known), "mixed")
     tiles = _tiles(mixed, sets).repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
     pairs = tiles.mapInArrow(_tile_candidates(share), "a long, b long").distinct()
-    more = decided(stash(pairs, "pairs"))
-    components = connected_components(stash(more, "more-links").union(links)).withColumnsRenamed({"node": "rep", "component": "component_id"})
-    placed = classes.select("set_key", "rep").join(components, "rep", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
-    linked = prefixes.where("doc_id is not null and set_key is not null").select("doc_id", "n", "set_key").join(placed, "set_key")
-    alone = prefixes.where("doc_id is null or set_key is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    more = stash(decided(stash(pairs, "pairs")), "more-links")
+    components = connected_components(more if links is None else more.union(links)).withColumnsRenamed({"node": "rep", "component": "component_id"})
+    placed = names.join(components, "rep", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
+    linked = keys.where("doc_id is not null and set_key is not null").select("doc_id", "n", "set_key").join(placed, "set_key")
+    alone = keys.where("doc_id is null or set_key is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
 
 
 def _shared_tokens(classes: DataFrame) -> DataFrame:
-    """(token, rep, n, anchor) for the prefix tokens of at least two sets; anchor is the smallest of them.
+    """(token, rep, n) for the prefix tokens of at least two sets.
 
     Groups of cool tokens have HOT rows at most, as the table of counts never counts too low, so a window over
     each is bounded; hot tokens are counted first and joined, and a join splits its hot keys.
     """
-    from pyspark.sql import Window
-
-    own = Window.partitionBy("token")
     cool = classes.select(F.explode("cool").alias("token"), "rep", "n")
-    cool = cool.select("token", "rep", "n", F.min("rep").over(own).alias("anchor"), F.count("*").over(own).alias("c")).where("c > 1").drop("c")
+    cool = cool.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
     hot = classes.select(F.explode("hot").alias("token"), "rep", "n")
-    known = hot.groupBy("token").agg(F.min("rep").alias("anchor"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return cool.union(hot.join(known, "token").select("token", "rep", "n", "anchor"))
+    known = hot.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    return cool.union(hot.join(known, "token").select("token", "rep", "n"))
+
+
+def _central(mixed: DataFrame) -> DataFrame:
+    """(a, b): per set the one of another component that is most often the fullest, or else the emptiest, of those
+    that share a token with it. One row a set."""
+    ends = mixed.groupBy("token").agg(F.max(F.struct("fill", "rep", "comp", "n")).alias("x"), F.min(F.struct("fill", "rep", "comp", "n")).alias("y"))
+    near = mixed.join(ends, "token").withColumn("z", F.when(F.col("comp") != F.col("x.comp"), F.col("x")).otherwise(F.col("y")))
+    met = near.where(F.col("comp") != F.col("z.comp")).groupBy("rep", F.col("z.rep").alias("b")).agg(F.count("*").alias("c"))
+    return met.groupBy("rep").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select(F.col("rep").alias("a"), "b")
 
 
 def _mixed_tokens(shared: DataFrame, known: DataFrame) -> DataFrame:
-    """(token, rep, n, comp) of the tokens that sets of different components share."""
-    placed = shared.join(known, "rep", "left").select("token", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+    """(token, rep, n, fill, comp) of the tokens that sets of different components share."""
+    placed = shared.join(known, "rep", "left").select("token", "rep", "n", "fill", F.coalesce("comp", "rep").alias("comp"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     return placed.join(mixed, "token", "left_semi")
 
