@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstrand.llm import exact_dedup, packing, pii, quality
+from quillstrand.llm import exact_dedup, jaccard_join, packing, pii, quality
 from quillstrand.llm.queries import train_quality
 from quillstrand.shared import stash
 
@@ -28,6 +28,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.drop_copies(docs, keep="min")
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.drop_similar(docs)
+
+
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.redacted(docs)
 
@@ -39,6 +43,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality classifier", keep_quality),
     ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
     ("PII", redact_personal_data),
     ("packing", pack_sequences),
 ]
