@@ -541,10 +541,10 @@ def pool_mean_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id % 20 AS run, event_id AS e, value AS m, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS k FROM events),
-f AS (SELECT run, 0::BIGINT AS k, -1.0::DOUBLE AS best, -1::BIGINT AS at, 0 AS bad, -1::BIGINT AS stop FROM (SELECT DISTINCT run FROM e) UNION ALL
-SELECT f.run, e.k, CASE WHEN e.m > best + 0.5 THEN e.m ELSE best END, CASE WHEN e.m > best + 0.5 THEN e.e ELSE at END, CASE WHEN e.m > best + 0.5 THEN 0 ELSE bad + 1 END, CASE WHEN NOT e.m > best + 0.5 AND bad + 1 >= 5 THEN e.e ELSE -1 END
+f AS (SELECT run, 0::BIGINT AS k, -1.0::DOUBLE AS best, -1::BIGINT AS seen_at, 0 AS bad, -1::BIGINT AS stop FROM (SELECT DISTINCT run FROM e) UNION ALL
+SELECT f.run, e.k, CASE WHEN e.m > best + 0.5 THEN e.m ELSE best END, CASE WHEN e.m > best + 0.5 THEN e.e ELSE seen_at END, CASE WHEN e.m > best + 0.5 THEN 0 ELSE bad + 1 END, CASE WHEN NOT e.m > best + 0.5 AND bad + 1 >= 5 THEN e.e ELSE -1 END
 FROM f JOIN e ON e.run = f.run AND e.k = f.k + 1 WHERE f.stop < 0),
-l AS (SELECT run, max(k) AS k FROM f GROUP BY run) SELECT run, best, at AS best_epoch, nullif(stop, -1) AS stopped FROM f JOIN l USING (run, k)""")
+l AS (SELECT run, max(k) AS k FROM f GROUP BY run) SELECT run, best, seen_at AS best_epoch, nullif(stop, -1) AS stopped FROM f JOIN l USING (run, k)""")
 def early_stop_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("run"), "event_id", "value")
     return metrics.early_stop(e, "run", "event_id", "value", 0.5, 5)

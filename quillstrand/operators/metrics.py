@@ -93,10 +93,10 @@ def kmer_spectrum(df: DataFrame, key: str, text: str, k: Column) -> DataFrame:
     counts = rows.select(key, "k", F.explode(kmers(F.col("t"), F.col("k"))).alias("w")).groupBy(key, "k", "w").agg(F.count("*").alias("i"))
     total = F.pow(F.lit(4.0), F.col("k"))
     seen = counts.groupBy(key, "k", "i").agg(F.count("*").cast("double").alias("f"))
-    bins = seen.union(rows.select(key, "k", F.lit(0).cast("long"), total))
-    # The bin of types never seen holds all types less the seen ones.
-    unseen = 2 * F.col("f") - F.sum("f").over(Window.partitionBy(key))
-    return bins.select(key, "k", "i", (F.when(F.col("i") == 0, unseen).otherwise(F.col("f")) / total).alias("p"))
+    # The bin of types never seen holds all types less the seen ones, told from the row itself.
+    types = F.size(F.array_distinct(kmers(F.col("t"), F.col("k"))))
+    zero = rows.select(key, "k", F.lit(0).cast("long").alias("i"), (1 - types / total).alias("p"))
+    return seen.select(key, "k", "i", (F.col("f") / total).alias("p")).union(zero)
 
 
 def pair_k(a: Column, b: Column) -> Column:
