@@ -41,6 +41,8 @@ PER_SLOT, LEAST_SLOTS, MOST_SLOTS = 64, 1 << 16, 1 << 24
 #: Tokens counted this often may be in large groups, and are joined; groups of the others are at most this large.
 HOT = 4096
 SIGNATURE_BITS, TILE = 2048, 512
+#: A set of n tokens takes n // SPARE tokens more than one shared one asks for, so that linked pairs share 1 + n // SPARE.
+SPARE = 32
 ROUNDS = 2
 SALT = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 2 * WORDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -134,7 +136,7 @@ def _prefix_rows(ranks, share: int, words: int):
             for s in token_sets(_texts(b, "text"), words):
                 n = len(s)
                 own = rank[(s & mask).astype(np.int64)]
-                first = n - least_overlap(n, share) + 1 + n // 32
+                first = n - least_overlap(n, share) + 1 + n // SPARE
                 order = np.argsort(own.astype(np.uint64) << np.uint64(56) | s >> np.uint64(8), kind="stable")[:first] if n else []
                 sizes.append(n)
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
@@ -197,14 +199,15 @@ TILE_KEY = ["token", "band", "low", "high"]
 
 
 def _tile_candidates(share: int):
-    """Pairs of different components in a tile whose sizes and signatures allow the similarity.
+    """Pairs of different components in a tile whose sizes and signatures allow the similarity, the number of tiles
+    (shared tokens) that showed each, and the number that a linked pair must have.
 
     Rows come sorted by tile. home: the row's size is of this band (else of the one below); side 0 is the first of
     the two parts that the tile compares.
     """
 
-    def pairs(n, comp, home, part, low, high, bits, rep) -> tuple[np.ndarray, np.ndarray]:
-        u, v = [], []
+    def pairs(n, comp, home, part, low, high, bits, rep) -> np.ndarray:
+        found = []
         for k in range(0, len(n), 64):
             rows = slice(k, k + 64)
             need = -(-share * (n[rows, None] + n[None, :]) // (100 + share))
@@ -218,9 +221,9 @@ def _tile_candidates(share: int):
                 lone_q = np.bitwise_count(bits[q] & ~bits[p]).sum(1, dtype=np.int64)
                 bound = np.minimum(n[p] - lone_p, n[q] - lone_q)
                 good = (100 + share) * bound >= share * (n[p] + n[q])
-                u.append(rep[p[good]])
-                v.append(rep[q[good]])
-        return (np.concatenate(u), np.concatenate(v)) if u else (rep[:0], rep[:0])
+                p, q = p[good], q[good]
+                found.append(np.stack([rep[p], rep[q], 1 + np.minimum(n[p], n[q]) // SPARE], 1))
+        return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -232,17 +235,15 @@ def _tile_candidates(share: int):
             keys = [table[c].to_numpy() for c in TILE_KEY]
             new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             cut = len(table) if last else int(new[-1]) if len(new) else 0
-            done, seen_u, seen_v = table[:cut], [], []
+            done, seen = table[:cut], [np.zeros((0, 3), np.int64)]
             col = {c: done[c].to_numpy() for c in ("n", "comp", "home", "part", "rep")}
             bits = np.frombuffer(b"".join(done["signature"].to_pylist()), np.uint64).reshape(cut, -1)
             edges = [0, *[int(x) for x in new if x < cut], cut]
             for a, b in zip(edges, edges[1:]):
                 if b - a > 1:
-                    u, v = pairs(*[col[c][a:b] for c in ("n", "comp", "home", "part")], keys[2][a], keys[3][a], bits[a:b], col["rep"][a:b])
-                    seen_u.append(u)
-                    seen_v.append(v)
-            both = np.unique(np.stack([np.concatenate(seen_u), np.concatenate(seen_v)], 1), axis=0) if seen_u else np.zeros((0, 2), np.int64)
-            return pa.record_batch({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])}), table[cut:]
+                    seen.append(pairs(*[col[c][a:b] for c in ("n", "comp", "home", "part")], keys[2][a], keys[3][a], bits[a:b], col["rep"][a:b]))
+            both, times = np.unique(np.concatenate(seen), axis=0, return_counts=True)
+            return pa.record_batch({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1]), "need": pa.array(both[:, 2]), "c": pa.array(times)}), table[cut:]
 
         for b in batches:
             table = pa.Table.from_batches([b])
@@ -283,7 +284,7 @@ def similar_documents(docs: DataFrame, share: int = 75, words: int = WORDS, id_c
     names = stash(classes.select("set_key", "rep"), "names")
     discard(classes)
     # A set needs so many shared tokens to have a partner; smaller partners have fewer extra tokens.
-    need = 1 + F.floor(F.ceil(F.col("n") * share / 100) / 32)
+    need = 1 + F.floor(F.ceil(F.col("n") * share / 100) / SPARE)
     able = every.groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= need).select("rep", (F.col("c") / F.col("n")).alias("fill"))
     shared = stash(every.join(able, "rep"), "able")
     discard(every)
@@ -307,7 +308,8 @@ def similar_documents(docs: DataFrame, share: int = 75, words: int = WORDS, id_c
         known = connected_components(links).withColumnsRenamed({"node": "rep", "component": "comp"})
         mixed = stash(_mixed_tokens(shared, known), "mixed")
     tiles = _tiles(mixed, sets).repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
-    pairs = tiles.mapInArrow(_tile_candidates(share), "a long, b long").distinct()
+    seen = tiles.mapInArrow(_tile_candidates(share), "a long, b long, need long, c long")
+    pairs = seen.groupBy("a", "b", "need").agg(F.sum("c").alias("c")).where("c >= need").select("a", "b")
     more = stash(decided(stash(pairs, "pairs")), "more-links")
     components = connected_components(more if links is None else more.union(links)).withColumnsRenamed({"node": "rep", "component": "component_id"})
     placed = names.join(components, "rep", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
