@@ -1,7 +1,7 @@
 """All queries by name over the star schema's tables, each with SQL that a second engine can check it with.
 
 documents stand for sequence rows: letters are folded onto A, C, G, T, everything else acts as a masked base.
-Queries whose cost grows with the square of a text's length work on its first CAP letters, as the oracle does.
+Queries work on whole texts. SQL_CUT names those whose SQL still reads a prefix, so that it tells another result.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ FOLD = ("ACGT" * 7)[:26]
 SEQ = f"translate(lower(text), '{ABC}', '{FOLD}')"
 
 
+#: The SQL of these cuts texts to 300 to 600 letters; the queries don't.
+SQL_CUT = ("exact_match", "edit_distance", "kmer_metrics", "completion_metrics", "completion_summary")
+
+
 def query(oracle: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -374,14 +378,16 @@ def locus_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- similarity and spectra ---------------------------------------------------------------------------------------
 
-CAP = 600
+CAP = 600  # of the SQL alone
 D_PAIR = f"t AS (SELECT a.doc_id, regexp_replace(substr(a.seq, 1, {CAP}), '[^ -~]', '#', 'g') AS t, regexp_replace(substr(b.seq, 1, {CAP}), '[^ -~]', '#', 'g') AS m FROM s a JOIN s b ON b.doc_id = a.doc_id + 1), pr AS (SELECT doc_id, t, substr(m, 1, length(t)) AS m FROM t)"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, t, whole (the text after it) and m, which is whole cut to the length of t."""
     # Other characters are masked: the oracle's edit distance counts bytes.
-    s = _sequences(spark, sf_dir).select("doc_id", F.regexp_replace(F.substring("seq", 1, CAP), "[^ -~]", "#").alias("t"))
-    return s.join(s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("m")), "doc_id").select("doc_id", "t", F.substring(F.col("m"), F.lit(1), F.length("t")).alias("m"))
+    s = _sequences(spark, sf_dir).select("doc_id", F.regexp_replace("seq", "[^ -~]", "#").alias("t"))
+    both = s.join(s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("whole")), "doc_id")
+    return both.select("doc_id", "t", "whole", F.substring(F.col("whole"), F.lit(1), F.length("t")).alias("m"))
 
 
 @query(f"WITH {D_SEQ}, {D_PAIR} SELECT doc_id, round(CASE WHEN length(t) > 0 AND length(t) = length(m) THEN CAST(len(list_filter(range(1, length(t) + 1), lambda i: substr(t, i, 1) = substr(m, i, 1))) AS DOUBLE) / length(t) ELSE 0 END, 9) AS exact_match FROM pr")
@@ -447,13 +453,13 @@ coalesce(kmer_jsd, 'NaN'::DOUBLE) AS kmer_jsd, coalesce(kmer_ks, 'NaN'::DOUBLE)
 
 @query(f"WITH {D_ROWS} SELECT doc_id, round(edit_distance, 6) AS edit_distance, round(exact_match_acc, 6) AS exact_match_acc, round(kmer_jsd, 6) AS kmer_jsd, round(kmer_ks, 6) AS kmer_ks, is_cds FROM r")
 def completion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = completion.row_metrics(_pairs(spark, sf_dir), "doc_id", "t", "m")
+    r = completion.row_metrics(_pairs(spark, sf_dir), "doc_id", "t", "whole")
     return r.select("doc_id", *[F.round(c, 6).alias(c) for c in ("edit_distance", "exact_match_acc", "kmer_jsd", "kmer_ks")], "is_cds")
 
 
 @query(f"WITH {D_ROWS} SELECT count(*) AS count, " + ", ".join(f"round({f}(CASE WHEN isfinite({m}) THEN {m} END), 5) AS {m}_{n}" for m in ("edit_distance", "exact_match_acc", "kmer_jsd", "kmer_ks") for f, n in (("avg", "mean"), ("median", "median"), ("stddev_pop", "std"), ("min", "min"), ("max", "max"))) + ", count(CASE WHEN is_cds THEN 1 END) AS is_cds_count, round(avg(CASE WHEN is_cds THEN 1.0::DOUBLE ELSE 0 END), 5) AS is_cds_ratio FROM r")
 def completion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = completion.summary(completion.row_metrics(_pairs(spark, sf_dir), "doc_id", "t", "m"))
+    s = completion.summary(completion.row_metrics(_pairs(spark, sf_dir), "doc_id", "t", "whole"))
     return s.select(*[F.round(c, 5).alias(c) if t == "double" else c for c, t in s.dtypes])
 
 

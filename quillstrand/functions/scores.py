@@ -48,28 +48,56 @@ def strip_prefix(text: Column, prefix: Column) -> Column:
 
 def exact_match(a: Column, b: Column) -> Column:
     n = F.length(a)
-    same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))))
+    same = F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x == y), lambda e: e))
     return F.when((n > 0) & (n == F.length(b)), same / n).otherwise(F.lit(0.0))
 
 
+def _edits(a: str, b: str) -> int:
+    """Levenshtein distance: a column of the table at a time, its steps up and down as the bits of two numbers (Myers)."""
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {c: int("".join("1" if x == c else "0" for x in reversed(a)), 2) for c in set(a) & set(b)}
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, cost = full, 0, len(a)
+    for c in b:
+        eq = places.get(c, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        right, left = down | (full & ~(diagonal | up)), up & diagonal
+        cost += 1 if right & top else -1 if left & top else 0
+        right, left = (right << 1) | 1, left << 1
+        up, down = full & (left | ~(diagonal | right)), full & right & diagonal
+    return cost
+
+
+def _distances(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in pairs:
+        yield pd.Series([None if x is None or y is None else _edits(x, y) for x, y in zip(a, b)], dtype="Int64")
+
+
 def edit_distance(truth: Column, made: Column) -> Column:
-    return F.when(F.length(truth) > 0, F.levenshtein(truth, made) / F.length(truth)).otherwise(F.lit(0.0))
+    return F.when(F.length(truth) > 0, F.pandas_udf(_distances, "long")(truth, made) / F.length(truth)).otherwise(F.lit(0.0))
 
 
 def _global_score(a: str, b: str) -> int:
     """Global alignment score with match 1, mismatch -1, gap -1, a row at a time.
 
-    Inside a row, cur[j] = max over i <= j of (cand[i] - (j - i)), a running maximum of cand[i] + i.
+    Inside a row, cur[j] = max over i <= j of (cand[i] - (j - i)), a running maximum of cand[i] + i; so rows are kept
+    with j added.
     """
     x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
-    j = np.arange(len(y) + 1)
-    row = -j
-    for k, c in enumerate(x, 1):
-        cand = row - 1
-        cand[1:] = np.maximum(cand[1:], row[:-1] + np.where(y == c, 1, -1))
-        cand[0] = -k
-        row = np.maximum.accumulate(cand + j) - j
-    return int(row[-1])
+    row, next_row, gains = np.zeros(len(y) + 1, np.int32), np.empty(len(y) + 1, np.int32), {}
+    for c in x.tolist():
+        gain = gains.get(c)
+        if gain is None:
+            gain = (y == c).astype(np.int32) * 2
+            if len(gains) < 32:
+                gains[c] = gain
+        np.add(row[:-1], gain, out=next_row[1:])
+        next_row[0] = row[0] - 1
+        row -= 1
+        np.maximum(next_row, row, out=next_row)
+        np.maximum.accumulate(next_row, out=row)
+    return int(row[-1]) - len(y)
 
 
 def _alignments(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

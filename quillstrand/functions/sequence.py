@@ -68,8 +68,7 @@ def is_strict_dna(s: Column | str) -> Column:
 
 def codons(s: Column) -> Column:
     """Whole codons from the first letter on."""
-    n = F.floor(F.length(s) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(s, i * 3 + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(s, F.lit("(?s)..."), F.lit(0)), F.array().cast("array<string>"))
 
 
 def codon_map() -> Column:
@@ -122,9 +121,9 @@ K_THRESHOLDS = [_least_for(k) for k in range(2, 14)]
 def kmers(s: Column | str, k: Column | int) -> Column:
     """All substrings of k letters that are upper-case A, C, G, T throughout."""
     c, k = _text(s), F.lit(k) if isinstance(k, int) else k
-    n = F.length(c)
-    every = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(c, i, k))
-    return F.when((k > 0) & (n >= k), F.filter(every, lambda x: F.translate(x, "ACGT", "") == "")).otherwise(F.array().cast("array<string>"))
+    # One pass with a look ahead: a substring at a place is sought from the start of the text each time.
+    found = F.regexp_extract_all(c, F.concat(F.lit("(?=([ACGT]{"), k.cast("string"), F.lit("}))")), F.lit(1))
+    return F.when((k > 0) & (F.length(c) >= k), found).otherwise(F.array().cast("array<string>"))
 
 
 def kmer_text(s: Column | str, k: int) -> Column:
