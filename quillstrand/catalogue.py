@@ -25,8 +25,8 @@ FOLD = ("ACGT" * 7)[:26]
 SEQ = f"translate(lower(text), '{ABC}', '{FOLD}')"
 
 
-#: The SQL of these cuts texts to 300 to 600 letters; the queries don't.
-SQL_CUT = ("exact_match", "edit_distance", "kmer_metrics", "completion_metrics", "completion_summary")
+#: The SQL of these cuts texts to 500 or 600 letters; the queries don't.
+SQL_CUT = ("kmer_text", "char_tokens", "kmer_tokens", "exact_match", "edit_distance", "kmer_metrics", "completion_metrics", "completion_summary")
 
 
 def query(oracle: str | None = None):
@@ -342,10 +342,10 @@ _column("unspaced_upper", sq.unspaced_upper, "upper(replace(regexp_replace(text,
 _column("keep_alphabet", sq.keep_alphabet, "CASE WHEN regexp_replace(text, '[^ACGTNacgtn]', '', 'g') <> '' THEN regexp_replace(text, '[^ACGTNacgtn]', '', 'g') ELSE upper(text) END")
 _column("seq_type", sq.sequence_type, "CASE WHEN regexp_full_match(upper(text), '[ACGTUN-]*') THEN 'gene' ELSE 'prot' END")
 _column("six_cut", sq.six_cut, "substr(text, 1, CAST(length(text) // 6 * 6 AS BIGINT))")
-_column("kmer_text", lambda c: sq.kmer_text(F.translate(F.substring(c, 1, 600), " ", "_"), 6), "CASE WHEN length(substr(text, 1, 600)) < 6 THEN translate(substr(text, 1, 600), ' ', '_') ELSE array_to_string(list_transform(range(1, length(substr(text, 1, 600)) - 4), lambda i: substr(translate(substr(text, 1, 600), ' ', '_'), i, 6)), ' ') END")
-_column("char_tokens", lambda c: F.array_join(sq.char_tokens(F.substring(c, 1, 500)), "|"), "array_to_string(string_split(upper(replace(substr(text, 1, 500), 'ß', 'SS')), ''), '|')")
+_column("kmer_text", lambda c: sq.kmer_text(F.translate(c, " ", "_"), 6), "CASE WHEN length(substr(text, 1, 600)) < 6 THEN translate(substr(text, 1, 600), ' ', '_') ELSE array_to_string(list_transform(range(1, length(substr(text, 1, 600)) - 4), lambda i: substr(translate(substr(text, 1, 600), ' ', '_'), i, 6)), ' ') END")
+_column("char_tokens", lambda c: F.array_join(sq.char_tokens(c), "|"), "array_to_string(string_split(upper(replace(substr(text, 1, 500), 'ß', 'SS')), ''), '|')")
 D_TOK = "upper(replace(regexp_replace(substr(text, 1, 500), '\\s', '', 'g'), 'ß', 'SS'))"
-_column("kmer_tokens", lambda c: F.array_join(sq.fixed_tokens(F.substring(c, 1, 500), 6), "|"), f"array_to_string(list_transform(range(0, length({D_TOK}), 6), lambda i: rpad(substr({D_TOK}, i + 1, 6), 6, 'N')), '|')")
+_column("kmer_tokens", lambda c: F.array_join(sq.fixed_tokens(c, 6), "|"), f"array_to_string(list_transform(range(0, length({D_TOK}), 6), lambda i: rpad(substr({D_TOK}, i + 1, 6), 6, 'N')), '|')")
 _column("align6", lambda c: sq.six_align(c)["aligned"], "repeat('A', CAST((6 - length(text) % 6) % 6 AS BIGINT)) || text")
 D_256 = "substr(upper(replace(substr(text, 1, 300), 'ß', 'SS')), 1, 256)"
 _column("token_encode", lambda c: F.array_join(F.transform(sq.encode_tokens(sq.char_tokens(F.substring(c, 1, 300)), sq.BASE_IDS, 5, 256), lambda i: i.cast("string")), " "), f"array_to_string(list_transform(list_concat(list_transform(string_split({D_256}, ''), lambda c: coalesce(list_position(['A','C','G','T','N'], c), 5)), list_transform(range(0, 256 - length({D_256})), lambda i: 0)), lambda v: CAST(v AS VARCHAR)), ' ')")

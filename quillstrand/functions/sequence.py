@@ -129,14 +129,14 @@ def kmers(s: Column | str, k: Column | int) -> Column:
 def kmer_text(s: Column | str, k: int) -> Column:
     """Overlapping k-mers joined by spaces; texts with a space or shorter than k pass through."""
     c = _text(s)
-    words = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(k)))
+    words = F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
     return F.when(F.contains(c, F.lit(" ")) | (F.length(c) < k), c).otherwise(F.array_join(words, " "))
 
 
 def fixed_tokens(s: Column | str, k: int, stride: int | None = None) -> Column:
     """Chunks of k letters every stride letters, the last padded with N."""
     c, step = unspaced_upper(s), stride or k
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.length(c) - 1, F.lit(0)), F.lit(step)), lambda i: F.rpad(F.substring(c, i + 1, F.lit(k)), k, "N"))
+    cut = F.transform(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{1,{k}}})).{{1,{step}}}"), F.lit(1)), lambda x: F.rpad(x, k, "N"))
     return F.when(F.length(c) > 0, cut).otherwise(F.array().cast("array<string>"))
 
 
