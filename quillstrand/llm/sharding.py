@@ -85,7 +85,7 @@ def write_shards(docs: DataFrame, limit: int, path: str, id_col: str = "doc_id",
     """Write docs as Parquet with a folder for each shard, rows of a shard together."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(text))
-    where = shard(docs, limit, id_col, text_col).select(F.col("doc_id").alias("__id"), "shard", "n_bytes").distinct()
+    where = shard(docs, limit, id_col, text_col).select(F.col("doc_id").alias("__id"), "shard").distinct()
     marked = docs.withColumn("__bits", hash_bits(key))
     own = marked.join(where, marked[id_col].eqNullSafe(where["__id"]) & F.lpad(F.bin("__bits"), BITS, "0").startswith(where["shard"]))
-    own.drop("__id", "__bits", "n_bytes").repartition("shard").write.partitionBy("shard").parquet(path)
+    own.drop("__id", "__bits").repartition("shard").write.partitionBy("shard").parquet(path)
