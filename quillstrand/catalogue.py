@@ -541,9 +541,17 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT label, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS mean_0, round(max(CAST(embedding[1] AS DOUBLE)), 6) AS max_0, round(min(CAST(embedding[1] AS DOUBLE)), 6) AS min_0, round(CAST(min_by(embedding[1], vec_id) AS DOUBLE), 6) AS cls_0, round(CAST(max_by(embedding[1], vec_id) AS DOUBLE), 6) AS final_0 FROM embeddings GROUP BY label")
 def pool_mean_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("embedding")[0].cast("double")
-    pools = {"mean": F.avg(x), "max": F.max(x), "min": F.min(x), "cls": F.min_by(x, "vec_id"), "final": F.max_by(x, "vec_id")}
-    return _table(spark, sf_dir, "embeddings").groupBy("label").agg(*[F.round(c, 6).alias(f"{n}_0") for n, c in pools.items()])
+    """Place 0 of each pool, as its SQL has it; pool_vectors shows all places."""
+    pools = relations.pool(_table(spark, sf_dir, "embeddings"), "label", "embedding", "vec_id")
+    return pools.select("label", *[F.round(F.col(n)[0], 6).alias(f"{n}_0") for n in relations.POOLS])
+
+
+@query("""WITH e AS (SELECT label, vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim FROM embeddings)
+SELECT label, dim, round(avg(x), 6) AS mean, round(max(x), 6) AS max, round(min(x), 6) AS min, round(min_by(x, vec_id), 6) AS cls, round(max_by(x, vec_id), 6) AS final FROM e GROUP BY label, dim""")
+def pool_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pools = relations.pool(_table(spark, sf_dir, "embeddings"), "label", "embedding", "vec_id")
+    cells = pools.select("label", F.posexplode(F.arrays_zip(*relations.POOLS)).alias("dim", "x"))
+    return cells.select("label", "dim", *[F.round(F.col("x")[n], 6).alias(n) for n in relations.POOLS])
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id % 20 AS run, event_id AS e, value AS m, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS k FROM events),

@@ -101,6 +101,20 @@ def group_mean(df: DataFrame, group: str, vector: str, order: str, label: str) -
     return vectors.join(first, group)
 
 
+POOLS = ("mean", "max", "min", "cls", "final")
+
+
+def pool(df: DataFrame, group: str, vector: str, order: str) -> DataFrame:
+    """(group, mean, max, min, cls, final): element-wise pools of the vectors of a group, which have one length, as
+    arrays of double; cls is the first vector by order, final the last."""
+    cells = df.select(group, F.col(order).alias("__order"), F.posexplode(vector).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    x = F.col("x")
+    made = {"mean": F.avg(x), "max": F.max(x), "min": F.min(x), "cls": F.min_by(x, "__order"), "final": F.max_by(x, "__order")}
+    pooled = cells.groupBy(group, "i").agg(*[made[n].alias(n) for n in POOLS])
+    vectors = pooled.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("i", *POOLS))).alias("v"))
+    return vectors.select(group, *[F.col(f"v.{n}").alias(n) for n in POOLS])
+
+
 def split_overlap(df: DataFrame, split: str, group: str) -> DataFrame:
     """(split_a, split_b, shared): groups that two splits have in common."""
     g = df.select(split, group).distinct()
