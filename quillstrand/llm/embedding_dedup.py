@@ -102,6 +102,10 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 PAIR = "pair long, same boolean, side int, rep long, copies long, v array<float>"
 
 
+#: Lengths whose links are united at once.
+PART = 64
+
+
 def _tile_pairs(axes: np.ndarray, threshold: float):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """One pair of tiles: links of each vector, and a spanning forest of them, so rows are in proportion to the tiles."""
@@ -142,10 +146,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
     good = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"))
+    kind = "array<double>" if dict(vectors.select(F.col(vector_col).alias("v")).dtypes)["v"] == "array<double>" else "array<float>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v"))
     able = F.coalesce(F.col("vec_id").isNotNull() & (F.size("v") > 0) & good, F.lit(False))
     classes = stash(rows.where(able).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "v", F.size("v").alias("dims")), "vectors")
-    graphs = [_links_of(classes.where(F.col("dims") == d), d, threshold) for (d,) in classes.select("dims").distinct().limit(1000).collect()]
+    # A length with one vector has no pairs. The rest are united in parts, which keeps plans of many lengths shallow.
+    lengths = [d for (d,) in classes.groupBy("dims").count().where("count > 1").select("dims").orderBy("dims").collect()]
+    graphs = [_links_of(classes.where(F.col("dims") == d), d, threshold) for d in lengths]
+    if len(graphs) > PART:
+        graphs = [stash(_union(graphs[k : k + PART]), "links-part") for k in range(0, len(graphs), PART)]
     none = vectors.sparkSession.createDataFrame([], "rep long, links long, root long")
     found = stash(none if not graphs else graphs[0] if len(graphs) == 1 else _union(graphs), "links")
     components = connected_components(found.where("rep <> root").select("rep", "root"))
@@ -180,7 +189,8 @@ def _links_of(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
                 out["lead"] = list(x)
                 yield out
 
-    placed = stash(classes.mapInPandas(place, "rep long, copies long, v array<float>, cell array<int>, lead array<double>"), "cells")
+    kind = dict(classes.dtypes)["v"]
+    placed = stash(classes.mapInPandas(place, f"rep long, copies long, v {kind}, cell array<int>, lead array<double>"), "cells")
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
     tiled = placed.join(sizes, "cell").select("rep", "copies", "v", "cell", "lead", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
     tiled = stash(tiled.withColumn("tile", F.xxhash64("cell", "part")), "tiles")
