@@ -1,7 +1,8 @@
 """Connected components by alternating large and small stars.
 
 Each half step is one aggregation and one equi-join on the vertex, so no vertex's neighbours are ever
-gathered in one row; a hot vertex is split by the skew join of adaptive execution.
+gathered in one row. Minima are taken in the map tasks first; the join is on the vertex and a salt, so the edges
+of a hot vertex are dealt over SALTS tasks at least.
 """
 
 from __future__ import annotations
@@ -12,16 +13,27 @@ from pyspark.sql import functions as F
 from quillstrand.shared import stash
 
 
+#: Parts of a vertex's edges in a join; the other side, a row per vertex, is repeated for each.
+SALTS = 16
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, v) with u's row of least (u, m)."""
+    salted = edges.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS)))
+    copies = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return salted.join(copies, ["u", "salt"]).select("u", "v", "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _with_least(down, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 

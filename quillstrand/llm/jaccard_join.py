@@ -10,7 +10,9 @@ steers the work only, as any order gives the same result. Sets that share such t
    make most components;
 2. sets of different components that share a token, in tiles of neighbouring size bands, compared by bitmap
    signatures: a bit that only one of them has is a token that only one of them has, so bit counts bound the
-   overlap from above.
+   overlap from above. Tokens whose smallest component is the same are one group, so two copies of one original
+   meet once and not at each token that they share; signatures have a few bits a token, so that only pairs near
+   the threshold leave the tile.
 
 Every surviving pair is decided by the intersection of the sorted token arrays. Pairs inside a component aren't
 compared again, so a large group of near copies costs about a row per copy and not its square.
@@ -40,7 +42,11 @@ CHUNK = 1 << 20
 PER_SLOT, LEAST_SLOTS, MOST_SLOTS = 64, 1 << 16, 1 << 24
 #: Tokens counted this often may be in large groups, and are joined; groups of the others are at most this large.
 HOT = 4096
-SIGNATURE_BITS, TILE = 2048, 512
+#: A size band ends at GROWTH times its begin. Linked sizes differ by a third at most: one band or the next.
+GROWTH = 1.34
+#: A signature has a power of two of bits, TOKEN_BITS a token at least. A tile's part has TILE rows at most, and fewer
+#: where their signatures would take more than TILE_BYTES.
+TOKEN_BITS, LEAST_BITS, TILE, TILE_BYTES = 4, 256, 1024, 8 << 20
 #: A set of n tokens takes n // SPARE tokens more than one shared one asks for, so that linked pairs share 1 + n // SPARE.
 SPARE = 32
 ROUNDS = 2
@@ -170,11 +176,21 @@ def _set_rows(wanted, words: int):
 
 
 def _signature(s: np.ndarray) -> bytes:
-    bits = np.zeros(SIGNATURE_BITS, np.uint8)
-    bits[(s >> np.uint64(20)).astype(np.int64) % SIGNATURE_BITS] = 1
+    """Wide enough for the largest sets of the next band."""
+    width = max(LEAST_BITS, _power_of_two(math.ceil(TOKEN_BITS * GROWTH**2 * len(s))))
+    bits = np.zeros(width, np.uint8)
+    bits[(s >> np.uint64(20)).astype(np.int64) & (width - 1)] = 1
     return np.packbits(bits).tobytes()
 
 
+def _folded(signature: bytes, size: int) -> np.ndarray:
+    """A signature of size bytes: its halves united until it has that size."""
+    out = np.frombuffer(signature, np.uint64)
+    while out.nbytes > size:
+        out = out[: len(out) // 2] | out[len(out) // 2 :]
+    return out
+
+
 def _decide(share: int):
     """Keep the pairs whose sets have share percent similarity."""
 
@@ -195,19 +211,22 @@ def _decide(share: int):
     return run
 
 
-TILE_KEY = ["token", "band", "low", "high"]
+TILE_KEY = ["route", "band", "low", "high"]
 
 
 def _tile_candidates(share: int):
-    """Pairs of different components in a tile whose sizes and signatures allow the similarity, the number of tiles
-    (shared tokens) that showed each, and the number that a linked pair must have.
+    """Pairs of different components in a tile whose sizes and signatures allow the similarity.
 
-    Rows come sorted by tile. home: the row's size is of this band (else of the one below); side 0 is the first of
-    the two parts that the tile compares.
+    Rows come sorted by tile. home: the row's size is of this band (else of the one below). Of the two parts that
+    the tile compares, low is the first.
     """
 
-    def pairs(n, comp, home, part, low, high, bits, rep) -> np.ndarray:
+    def pairs(n, comp, home, part, low, high, signatures, rep) -> np.ndarray:
         found = []
+        size = min(len(x) for x in signatures)
+        bits = np.stack([_folded(x, size) for x in signatures])
+        ones = np.bitwise_count(bits).sum(1, dtype=np.int64)
+        step = max(1, (4 << 20) // size)
         for k in range(0, len(n), 64):
             rows = slice(k, k + 64)
             need = -(-share * (n[rows, None] + n[None, :]) // (100 + share))
@@ -215,15 +234,13 @@ def _tile_candidates(share: int):
             fit &= (rep[rows, None] < rep[None, :]) & (np.minimum(part[rows, None], part[None, :]) == low) & (np.maximum(part[rows, None], part[None, :]) == high)
             i, j = np.nonzero(fit)
             i += k
-            for c in range(0, len(i), 1 << 16):
-                p, q = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
-                lone_p = np.bitwise_count(bits[p] & ~bits[q]).sum(1, dtype=np.int64)
-                lone_q = np.bitwise_count(bits[q] & ~bits[p]).sum(1, dtype=np.int64)
-                bound = np.minimum(n[p] - lone_p, n[q] - lone_q)
+            for c in range(0, len(i), step):
+                p, q = i[c : c + step], j[c : c + step]
+                both = np.bitwise_count(bits[p] & bits[q]).sum(1, dtype=np.int64)
+                bound = np.minimum(n[p] - ones[p], n[q] - ones[q]) + both
                 good = (100 + share) * bound >= share * (n[p] + n[q])
-                p, q = p[good], q[good]
-                found.append(np.stack([rep[p], rep[q], 1 + np.minimum(n[p], n[q]) // SPARE], 1))
-        return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+                found.append(np.stack([rep[p[good]], rep[q[good]]], 1))
+        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -235,15 +252,14 @@ def _tile_candidates(share: int):
             keys = [table[c].to_numpy() for c in TILE_KEY]
             new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             cut = len(table) if last else int(new[-1]) if len(new) else 0
-            done, seen = table[:cut], [np.zeros((0, 3), np.int64)]
+            done, seen = table[:cut], [np.zeros((0, 2), np.int64)]
             col = {c: done[c].to_numpy() for c in ("n", "comp", "home", "part", "rep")}
-            bits = np.frombuffer(b"".join(done["signature"].to_pylist()), np.uint64).reshape(cut, -1)
             edges = [0, *[int(x) for x in new if x < cut], cut]
             for a, b in zip(edges, edges[1:]):
                 if b - a > 1:
-                    seen.append(pairs(*[col[c][a:b] for c in ("n", "comp", "home", "part")], keys[2][a], keys[3][a], bits[a:b], col["rep"][a:b]))
-            both, times = np.unique(np.concatenate(seen), axis=0, return_counts=True)
-            return pa.record_batch({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1]), "need": pa.array(both[:, 2]), "c": pa.array(times)}), table[cut:]
+                    seen.append(pairs(*[col[c][a:b] for c in ("n", "comp", "home", "part")], keys[2][a], keys[3][a], done["signature"].slice(a, b - a).to_pylist(), col["rep"][a:b]))
+            both = np.unique(np.concatenate(seen), axis=0)
+            return pa.record_batch({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])}), table[cut:]
 
         for b in batches:
             table = pa.Table.from_batches([b])
@@ -298,18 +314,18 @@ def similar_documents(docs: DataFrame, share: int = 75, words: int = WORDS, id_c
         b = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tokens_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(_decide(share), "a long, b long")
 
-    links = known = None
-    mixed = shared.withColumn("comp", F.col("rep"))
+    links = None
+    mixed = _mixed_tokens(shared.withColumn("comp", F.col("rep")))
     for _ in range(ROUNDS):
         new = stash(decided(_central(mixed)), "links")
         if new.isEmpty():
             break
         links = new if links is None else links.union(new)
         known = connected_components(links).withColumnsRenamed({"node": "rep", "component": "comp"})
-        mixed = stash(_mixed_tokens(shared, known), "mixed")
+        placed = shared.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        mixed = stash(_mixed_tokens(placed), "mixed")
     tiles = _tiles(mixed, sets).repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
-    seen = tiles.mapInArrow(_tile_candidates(share), "a long, b long, need long, c long")
-    pairs = seen.groupBy("a", "b", "need").agg(F.sum("c").alias("c")).where("c >= need").select("a", "b")
+    pairs = tiles.mapInArrow(_tile_candidates(share), "a long, b long").distinct()
     more = stash(decided(stash(pairs, "pairs")), "more-links")
     components = connected_components(more if links is None else more.union(links)).withColumnsRenamed({"node": "rep", "component": "component_id"})
     placed = names.join(components, "rep", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
@@ -340,25 +356,27 @@ def _central(mixed: DataFrame) -> DataFrame:
     return met.groupBy("rep").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select(F.col("rep").alias("a"), "b")
 
 
-def _mixed_tokens(shared: DataFrame, known: DataFrame) -> DataFrame:
-    """(token, rep, n, fill, comp) of the tokens that sets of different components share."""
-    placed = shared.join(known, "rep", "left").select("token", "rep", "n", "fill", F.coalesce("comp", "rep").alias("comp"))
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    return placed.join(mixed, "token", "left_semi")
+def _mixed_tokens(placed: DataFrame) -> DataFrame:
+    """placed: (token, rep, n, fill, comp). Its rows whose token is shared by sets of different components, and
+    route: the smallest of these components."""
+    ends = placed.groupBy("token").agg(F.min("comp").alias("route"), F.max("comp").alias("last")).where("route <> last").drop("last")
+    return placed.join(ends, "token").select("token", "rep", "n", "fill", "comp", "route")
 
 
 def _tiles(mixed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows of tiles: a token's sets of one size band and the band below, in parts of at most about TILE rows; a
-    tile compares part low with part high. Sizes of a linked pair differ by a third at most: one band or the next."""
+    """Rows of tiles: a route's sets of one size band and the band below, in parts of bounded size; a tile compares
+    part low with part high. Sets that share a token share its route."""
     # floor of a logarithm; a pair at the very edge is a band apart still, as bands are a little wider.
-    band = F.floor(F.log(F.col("n")) / math.log(1.34)).cast("int")
-    rows = mixed.withColumn("own", band)
-    rows = rows.select("token", "rep", "n", "comp", F.explode(F.array(F.struct(F.col("own").alias("band"), F.lit(True).alias("home")), F.struct((F.col("own") + 1).alias("band"), F.lit(False).alias("home")))).alias("x"))
-    rows = rows.select("token", "rep", "n", "comp", "x.band", "x.home")
-    sizes = rows.groupBy("token", "band").agg(F.count("*").alias("c"), F.count_if("home").alias("h")).where("h > 0 and c > 1").select("token", "band", F.ceil(F.col("c") / TILE).cast("int").alias("parts"))
-    rows = rows.join(sizes, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    own = F.floor(F.log(F.col("n")) / math.log(GROWTH)).cast("int")
+    rows = mixed.select("route", "rep", "n", "comp", own.alias("own")).distinct()
+    bands = F.explode(F.array(F.struct(F.col("own").alias("band"), F.lit(True).alias("home")), F.struct((F.col("own") + 1).alias("band"), F.lit(False).alias("home"))))
+    rows = rows.select("route", "rep", "n", "comp", bands.alias("x")).select("route", "rep", "n", "comp", "x.band", "x.home")
+    fit = F.greatest(F.lit(8), F.least(F.lit(TILE), F.floor(F.lit(8.0 * TILE_BYTES) / (2 * TOKEN_BITS * F.pow(F.lit(GROWTH), F.col("band") + 2)))))
+    sizes = rows.groupBy("route", "band").agg(F.count("*").alias("c"), F.count_if("home").alias("h"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    sizes = sizes.where("h > 0 and x <> y").select("route", "band", F.ceil(F.col("c") / fit).cast("int").alias("parts"))
+    rows = rows.join(sizes, ["route", "band"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rows = rows.select("token", "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "home", "part", "rep", "n", "comp")
+    rows = rows.select("route", "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "home", "part", "rep", "n", "comp")
     return rows.join(sets.select("rep", "signature"), "rep").select(*TILE_KEY, "home", "part", "rep", "n", "comp", "signature")
 
 
