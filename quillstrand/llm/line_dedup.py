@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A line on more than this share of its host's pages is boilerplate, if it is on two pages at least.
+from quillstrand.shared import stash
+
+#: A line on more than this share of its host's pages is boilerplate, if it is on so many of them at least: without
+#: that, every line of a host with fewer than 1 / RATIO pages would be.
 RATIO = 0.02
 LEAST_PAGES = 3
+#: Frequent lines up to so many bytes are broadcast; more are joined, with the pages of a host dealt over SALTS parts.
+BROADCAST_BYTES, SALTS = 32 << 20, 64
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -17,12 +22,21 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
     bounded by the pages' length, not by their number.
     """
     totals = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
-    lines = pages.select("host", F.explode(F.array_distinct(F.filter(F.transform("lines", F.trim), lambda x: x != ""))).alias("line"))
+    lines = pages.select("host", F.explode(F.array_distinct(F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: x != ""))).alias("line"))
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("n_with")).where(F.col("n_with") >= least_pages)
     frequent = counts.join(totals, "host").where(F.col("n_with") > F.lit(ratio) * F.col("n_pages"))
     return frequent.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("boiler"))
 
 
+def _with_boiler(rows: DataFrame, boiler: DataFrame) -> DataFrame:
+    size = boiler.agg(F.sum(F.octet_length("host") + F.aggregate("boiler", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 16))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(boiler), "host", "left")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("own_id", "lines"), F.lit(SALTS)))
+    copies = boiler.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["host", "salt"], "left")
+
+
 def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Per row: the id, clean_text, n_lines, n_dropped.
 
@@ -32,8 +46,8 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int =
     site. Repeated rows count as pages of their own. Other columns are ignored; empty tables give no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.split(text, "\n", -1).alias("lines"))
-    known = rows.join(boilerplate(rows, ratio, least_pages), "host", "left")
+    rows = pages.select(F.col(id_col).alias("own_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.split(text, "\n", -1).alias("lines"))
+    known = _with_boiler(rows, stash(boilerplate(rows, ratio, least_pages), "boilerplate"))
     stays = F.when(F.col("boiler").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("boiler"), F.trim(x))))
-    out = known.select(id_col, F.size("lines").cast("long").alias("n_lines"), stays.alias("stays"))
-    return out.select(id_col, F.array_join("stays", "\n").alias("clean_text"), "n_lines", (F.col("n_lines") - F.size("stays")).alias("n_dropped"))
+    out = known.select("own_id", F.size("lines").cast("long").alias("n_lines"), stays.alias("stays"))
+    return out.select(F.col("own_id").alias(id_col), F.array_join("stays", "\n").alias("clean_text"), "n_lines", (F.col("n_lines") - F.size("stays")).alias("n_dropped"))
