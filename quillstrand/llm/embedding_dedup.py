@@ -1,9 +1,9 @@
 """Near-duplicate vectors by exact cosine, tile against tile.
 
 Vectors are turned to their principal axes, so that the leading dimensions hold most of their length. A grid over
-the first axes keeps vectors that can be near each other in the same or neighbouring cells; cells are cut into
-tiles of bounded size, and tiles whose bounding boxes are too far apart are never compared. Two tiles are compared
-by accumulating leading dimensions first: what the rest can add is at most the product of the suffix norms, so a
+the first axes keeps vectors that can be near each other in the same or neighbouring cells; large cells are cut at
+quantiles of the next axes into tiles of bounded size, and tiles whose bounding boxes are too far apart are never
+compared. Two tiles are compared by accumulating leading dimensions first: what the rest can add is at most the product of the suffix norms, so a
 pair is dropped as soon as its cosine can't reach the threshold. What survives is decided on the whole vectors.
 """
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from quillstrand.llm.components import connected_components
 from quillstrand.shared import stash
 
-#: Vectors in a tile, at most about.
-TILE = 1024
+#: Vectors in a tile, at most about, and rows of one that are compared at a time.
+TILE, BLOCK = 4096, 512
 #: Axes of the grid.
 GRID = 2
 #: Axes of the tiles' bounding boxes.
@@ -30,6 +30,10 @@ BOX = 8
 #: The dimensions accumulated at each step end here (and at the last one).
 STEPS = (8, 24)
 SLACK = 1e-9
+#: Quantiles of an axis at which a cell can be cut.
+QUANTILES = 16
+#: So many cells, at most, are broadcast with their quantiles.
+MOST_CELLS = 10000
 
 
 def _moments(v: DataFrame, dims: int) -> np.ndarray:
@@ -59,11 +63,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers (of a, of b) of all pairs of unit vectors with cosine >= threshold."""
     ra, rb = a @ axes, b @ axes
+    found = [_compare(a[k : k + BLOCK], b, ra[k : k + BLOCK], rb, threshold) for k in range(0, len(a), BLOCK)]
+    return np.concatenate([i + k * BLOCK for k, (i, _) in enumerate(found)]), np.concatenate([j for _, j in found])
+
+
+def _compare(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     dims = ra.shape[1]
-    steps = [s for s in STEPS if s < dims]
     i = j = None
     done = 0
-    for s in steps:
+    for s in [s for s in STEPS if s < dims]:
         left_a, left_b = np.sqrt((ra[:, s:] ** 2).sum(1)), np.sqrt((rb[:, s:] ** 2).sum(1))
         if i is None:
             part = ra[:, :s] @ rb[:, :s].T
@@ -173,6 +181,28 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _tiled(placed: DataFrame, more: int, grid: int, few: bool) -> DataFrame:
+    """placed with part and tile. A cell of p tiles is cut on the first log2(p) of `more` axes past the grid, at as many
+    quantiles on each as make p parts; where that leaves too many rows in a part (values that tie, or axes that go
+    together), a hash splits it. few: the cells are few enough to be broadcast, by the size of the grid."""
+    cuts = [F.percentile_approx(F.col("lead")[grid + k], [x / QUANTILES for x in range(1, QUANTILES)], 1000).alias(f"q{k}") for k in range(more)]
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / TILE).alias("parts"), *cuts)
+    axes = F.greatest(F.lit(1), F.least(F.lit(more), F.ceil(F.log2(F.col("parts")))))
+    steps = F.least(F.lit(QUANTILES), F.ceil(F.round(F.pow(F.col("parts"), 1 / axes), 6)))
+    sizes = sizes.withColumn("axes", axes).withColumn("steps", steps)
+    part = F.lit(0)
+    for k in range(more):
+        here = F.col("lead")[grid + k]
+        place = F.size(F.filter(f"q{k}", lambda c: c < here))  # noqa: B023 - called at once
+        part = part * QUANTILES + F.when(F.col("axes") > k, F.floor(place * F.col("steps") / QUANTILES)).otherwise(F.lit(0))
+    cut = placed.join(F.broadcast(sizes) if few else sizes, "cell").select("rep", "copies", "v", "cell", "lead", part.cast("long").alias("area"))
+    crowds = cut.groupBy("cell", "area").agg(F.ceil(F.count("*") / TILE).cast("int").alias("shares"))
+    crowds = crowds.where("shares > 1")
+    out = cut.join(crowds, ["cell", "area"], "left").withColumn("share", F.when(F.col("shares").isNotNull(), F.pmod(F.xxhash64("rep"), F.col("shares"))).otherwise(F.lit(0)))
+    out = out.withColumn("part", F.xxhash64("area", "share"))
+    return out.select("rep", "copies", "v", "cell", "lead", "part", F.xxhash64("cell", "part").alias("tile"))
+
+
 def _links_of(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
     """(rep, links, root) rows of the classes of one length; links add up by rep, rep and root are connected."""
     moments = _moments(classes, dims)
@@ -191,9 +221,7 @@ def _links_of(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
 
     kind = dict(classes.dtypes)["v"]
     placed = stash(classes.mapInPandas(place, f"rep long, copies long, v {kind}, cell array<int>, lead array<double>"), "cells")
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    tiled = placed.join(sizes, "cell").select("rep", "copies", "v", "cell", "lead", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
-    tiled = stash(tiled.withColumn("tile", F.xxhash64("cell", "part")), "tiles")
+    tiled = stash(_tiled(placed, box - grid, grid, (2 / reach + 2) ** grid <= MOST_CELLS), "tiles")
     bounds = [f(F.col("lead")[k]).alias(f"{n}{k}") for k in range(box) for f, n in ((F.min, "lo"), (F.max, "hi"))]
     boxes = stash(tiled.groupBy("tile", "cell", "part").agg(*bounds), "boxes")
     # Half of the neighbouring cells, so that each pair of cells meets once.
