@@ -53,6 +53,38 @@ def overall(df: DataFrame, label: str = "label", predicted: str = "pred") -> Dat
     return c.agg(accuracy.alias("accuracy"), F.avg("f1").alias("f1_macro"), accuracy.alias("f1_micro"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1_weighted"), F.avg("precision").alias("precision_macro"), F.avg("recall").alias("recall_macro"))
 
 
+def full_report(df: DataFrame, label: str = "label", predicted: str = "pred") -> DataFrame:
+    """(name, precision, recall, f1, support): the classes, then accuracy (the same number in all three places), macro avg
+    and weighted avg. Tables without rows give the averages alone, as nulls."""
+    c = class_report(df, label, predicted)
+    total = F.sum("support").alias("support")
+    accuracy = F.sum(F.col("recall") * F.col("support")) / F.sum("support")
+    parts = ("precision", "recall", "f1")
+    rows = [c.select(F.col("class").cast("string").alias("name"), *parts, "support")]
+    rows.append(c.agg(*[accuracy.alias(p) for p in parts], total).select(F.lit("accuracy").alias("name"), *parts, "support"))
+    rows.append(c.agg(*[F.avg(p).alias(p) for p in parts], total).select(F.lit("macro avg").alias("name"), *parts, "support"))
+    rows.append(c.agg(*[(F.sum(F.col(p) * F.col("support")) / F.sum("support")).alias(p) for p in parts], total).select(F.lit("weighted avg").alias("name"), *parts, "support"))
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
+def confusion_filled(df: DataFrame, label: str = "label", predicted: str = "pred") -> DataFrame:
+    """(label, pred, n) for all pairs of classes that occur, 0 where a pair doesn't: a row per pair of classes."""
+    pairs = confusion(df, label, predicted)
+    classes = pairs.select(F.explode(F.array(label, predicted)).alias("class")).distinct().agg(F.sort_array(F.collect_list("class")).alias("all"))
+    grid = classes.select(F.explode("all").alias(label), "all").select(label, F.explode("all").alias(predicted))
+    return grid.join(pairs, [label, predicted], "left").select(label, predicted, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def binary(df: DataFrame, label: str = "label", predicted: str = "pred") -> DataFrame:
+    """One row of two boolean columns' accuracy, f1, precision, recall and mcc; a division by zero gives 0."""
+    y, p = F.col(label), F.col(predicted)
+    c = df.agg(*[F.count_if(a & b).cast("double").alias(n) for n, a, b in (("tp", y, p), ("fp", ~y, p), ("fn", y, ~p), ("tn", ~y, ~p))])
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    down = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
+    out = {"accuracy": _ratio(tp + tn, tp + tn + fp + fn), "f1": _ratio(2 * tp, 2 * tp + fp + fn), "precision": _ratio(tp, tp + fp), "recall": _ratio(tp, tp + fn), "mcc": _ratio(tp * tn - fp * fn, down)}
+    return c.select(*[v.alias(k) for k, v in out.items()])
+
+
 def mcc(df: DataFrame, label: str = "label", predicted: str = "pred") -> DataFrame:
     """One row: multiclass Matthews correlation; 0 where labels or predictions have one class only."""
     c = class_counts(df, label, predicted).select(*[F.col(x).cast("double").alias(x) for x in ("tp", "support", "predicted")])
@@ -87,6 +119,14 @@ def auprc(ovr: DataFrame) -> DataFrame:
     return s.groupBy("class").agg(F.coalesce(F.sum(F.col("p") * F.col("tp") / F.col("at")) / F.nullif(F.sum("p"), F.lit(0)), F.lit(0.0)).alias("auprc"))
 
 
+def ranking(ovr: DataFrame) -> DataFrame:
+    """One row: auc_macro_ovr, null if a class has only positives or only negatives (it is left out then), and
+    auprc_macro, where a class without positives counts 0."""
+    per_class = auroc(ovr).join(auprc(ovr), "class")
+    whole = F.when(F.count("*") == F.count("auroc"), F.avg("auroc"))
+    return per_class.agg(whole.alias("auc_macro_ovr"), F.avg("auprc").alias("auprc_macro"))
+
+
 def kmer_spectrum(df: DataFrame, key: str, text: str, k: Column) -> DataFrame:
     """(key, k, i, p): share of the 4 ** k k-mer types seen i times; i = 0 included. Without k-mers p is 1 at 0."""
     rows = df.select(key, k.cast("int").alias("k"), F.col(text).alias("t"))

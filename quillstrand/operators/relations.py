@@ -150,3 +150,14 @@ def append_reindexed(old: DataFrame, new: DataFrame, order: list[str]) -> DataFr
     """Both tables, idx numbered anew from 1. The log is a row per run, so one window over it is small."""
     both = old.drop("idx").unionByName(new.drop("idx"), allowMissingColumns=True)
     return both.withColumn("idx", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def predictions(rows: DataFrame, vocabulary: DataFrame, metadata: DataFrame, key: str, logits: str, label: str = "label", predicted: str = "pred") -> DataFrame:
+    """(key, true_label_id, true_label, predicted_label_id, predicted_label, confidence, metadata's columns): rows with the
+    names of their classes (class_<id> for unknown ones) and what metadata, a row per key, tells of them (null if nothing)."""
+    confidence = F.array_max(scores.softmax(F.col(logits)))
+    out = rows.select(key, F.col(label).alias("true_label_id"), F.col(predicted).alias("predicted_label_id"), confidence.alias("confidence"))
+    out = decode_labels(out, vocabulary, "true_label_id", "true_label")
+    out = decode_labels(out, vocabulary, "predicted_label_id", "predicted_label")
+    more = [c for c in metadata.columns if c != key]
+    return out.join(metadata, key, "left").select(key, "true_label_id", "true_label", "predicted_label_id", "predicted_label", "confidence", *more)

@@ -1,15 +1,13 @@
-"""Queries over long texts against brute force, and against their SQL with its cuts taken out."""
+"""Queries over long texts against brute force."""
 
 import hashlib
 import random
 
-import duckdb
 import pytest
 
 from quillstrand import catalogue
 from quillstrand.functions import scores
 from quillstrand.functions import sequence as sq
-from tests.test_catalogue import DIR, plain
 
 TINY = random.Random(7)
 #: Over 1,024 and 7,420 letters, so that k reaches 4 and 5; differences only after letter 600; one empty text; other characters.
@@ -80,14 +78,6 @@ def test_pairs_are_scored_whole(spark, folder):
     assert 8000 / 9000 <= exact[0]["exact_match"] < 1 and 0 < edit[0]["edit_distance"] < 0.12
 
 
-def whole_sql(name):
-    """The SQL of a query without its cuts to a first part; is_cds is judged on the continuation before that is cut to t."""
-    sql = catalogue.oracle_sql()[name].replace("substr(a.seq, 1, 600)", "a.seq").replace("substr(b.seq, 1, 600)", "b.seq")
-    sql = sql.replace("substr(text, 1, 600)", "text").replace("substr(text, 1, 500)", "text")
-    sql = sql.replace("substr(m, 1, length(t)) AS m FROM t)", "substr(m, 1, length(t)) AS m, m AS whole FROM t)")
-    return sql.replace(catalogue._cds_oracle("m") + " AS is_cds", catalogue._cds_oracle("whole") + " AS is_cds")
-
-
 def test_tokens_are_whole(spark, folder):
     made = [rows(spark, n, folder) for n in ("kmer_text", "char_tokens", "kmer_tokens")]
     for i, text in enumerate(TEXTS):
@@ -101,15 +91,3 @@ def test_tokens_are_whole(spark, folder):
 def test_overlapping_chunks(spark):
     got = spark.createDataFrame([("acgtacg",), ("",)], "s string").select(sq.fixed_tokens("s", 4, 2).alias("t")).collect()
     assert [r["t"] for r in got] == [["ACGT", "GTAC", "ACGN", "GNNN"], []]
-
-
-# kmer_text goes by brute force alone: DuckDB ran over a minute on whole texts.
-@pytest.mark.parametrize("name", [n for n in catalogue.SQL_CUT if n != "kmer_text"])
-def test_whole_sql(spark, name):
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
-    df, want = catalogue.queries()[name](spark, DIR), con.sql(whole_sql(name))
-    columns = sorted(df.columns)
-    at = [want.columns.index(c) for c in columns]
-    got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    assert got == sorted((tuple(plain(r[k]) for k in at) for r in want.fetchall()), key=repr)
