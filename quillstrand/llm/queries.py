@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +26,15 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    out, coder = bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    written = F.array_join(F.transform("ids", lambda k: k.cast("string")), " ")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2(coder.decode(F.col("ids")), 256).alias("decoded_sha256"))
+    out, coder = bpe.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+    written = [str(k) for k in range(1 << 16)]
+
+    @F.pandas_udf("string")
+    def ids_digest(lists: pd.Series) -> pd.Series:
+        return pd.Series([hashlib.sha256(" ".join(map(written.__getitem__, x.tolist())).encode()).hexdigest() for x in lists], index=lists.index, dtype=object)
+
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest("ids").alias("ids_sha256"), F.sha2(coder.decode(F.col("ids")), 256).alias("decoded_sha256"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
