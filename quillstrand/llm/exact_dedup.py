@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstrand.shared import free_name
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,10 +43,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A row that is repeated with its id and text stays once; which of them is arbitrary. Where no row of a
     group has an id, one of its rows stays.
     """
-    kept = exact_groups(docs, id_col, text_col, keep, fold_case).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    own, number, kept_id, kept_sha = (free_name(n, docs) for n in ("own_sha", "number", "kept_id", "kept_sha"))
+    kept = exact_groups(docs, id_col, text_col, keep, fold_case).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha)).distinct()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     text = F.translate(text, UPPER, LOWER) if fold_case else text
-    marked = docs.withColumn("__own", F.sha2(text.cast("binary"), 256))
-    there = marked.join(kept, marked[id_col].eqNullSafe(kept["__id"]) & (marked["__own"] == kept["__sha"]), "left_semi")
-    once = Window.partitionBy(id_col, "__own").orderBy(F.lit(0))
-    return there.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__own", "__n")
+    marked = docs.withColumn(own, F.sha2(text.cast("binary"), 256))
+    there = marked.join(kept, marked[id_col].eqNullSafe(kept[kept_id]) & (marked[own] == kept[kept_sha]), "left_semi")
+    once = Window.partitionBy(id_col, own).orderBy(F.lit(0))
+    return there.withColumn(number, F.row_number().over(once)).where(F.col(number) == 1).select(*docs.columns)

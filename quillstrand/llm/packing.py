@@ -9,8 +9,9 @@ cut j at position p[j],
     c[j] = penalty[j] + min over i with p[j] - p[i] <= 2048 of  c[i] + 2048 - (p[j] - p[i])
          = penalty[j] + 2048 - p[j] + min (c[i] + p[i])
 
-so the best i is the front of a monotone queue. A window whose length is a power of two needs no padding; those
-few predecessors are looked up by position.
+so the best i is the front of a monotone queue. A window of 256, 512 or 1,024 ids, a power of two, needs no padding;
+those few predecessors are looked up by position. Shorter windows of a power of two cost as if they were padded to
+2,048: the program would else cut documents into slivers that need no padding but serve no training.
 """
 
 from __future__ import annotations

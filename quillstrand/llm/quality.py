@@ -106,23 +106,24 @@ def fit(examples: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     """examples: id, text, label (1, 0; other labels are left out). At most about FIT_ROWS rows, those with the
     smallest hashes of their ids, are turned into features on the executors and gathered for the fit.
 
-    With one class only, or no rows, the model gives that class's share (or 0.5) to every text.
+    With one class only, or no rows, the model gives that class's share (or 0.5) to every text. Null ids count as one
+    id, so all or none of their rows are taken; rows that are repeated are fitted as often as they come.
     """
-    rows = examples.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
+    rows = examples.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("name"))
     total = rows.count()
     share = min(1.0, FIT_ROWS / max(total, 1))
     chosen = rows.where(F.pmod(F.xxhash64(F.col("id"), F.lit(2024)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "label": b["label"], "f": [features(t).astype(np.int32) for t in b["text"]]})
+            yield pd.DataFrame({"id": b["id"], "name": b["name"], "label": b["label"], "f": [features(t).astype(np.int32) for t in b["text"]]})
 
-    got = chosen.mapInPandas(turn, "id long, label int, f array<int>").toPandas().sort_values("id", kind="stable", na_position="first")
+    got = chosen.mapInPandas(turn, "id long, name string, label int, f array<int>").toPandas().sort_values("id", kind="stable", na_position="first")
     labels = got["label"].to_numpy()
     if len(set(labels.tolist())) < 2:
         return {"share": float(labels.mean()) if len(labels) else 0.5}
     sets, y = [np.asarray(f, np.int64) for f in got["f"]], np.where(labels == 1, 1.0, -1.0)
-    held = np.array([zlib.crc32(str(i).encode()) % (4 * CURVE_PART) >= 4 * (CURVE_PART - 1) for i in got["id"]])
+    held = np.array([zlib.crc32(n.encode()) % (4 * CURVE_PART) >= 4 * (CURVE_PART - 1) for n in got["name"]])
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held = np.zeros(len(y), bool)
     n = 1 << BITS
@@ -143,7 +144,8 @@ def _margin(found: np.ndarray, model: dict) -> float:
 
 def scored(docs: DataFrame, model: dict, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with a score column, 0 to 1, higher where label 1 is likelier. Null, empty and blank texts get the
-    score of a text without features. Only the text is an input. The model (3 MB) is broadcast."""
+    score of a text without features. Only the text is an input. Other columns stay, but one named out is
+    replaced. The model (3 MB) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstrand.shared import stash
+from quillstrand.shared import free_name, stash
 
 #: Bits of the hash, from the first 15 hexadecimal digits of an MD5.
 BITS = 60
@@ -82,10 +82,12 @@ def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "
 
 
 def write_shards(docs: DataFrame, limit: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write docs as Parquet with a folder for each shard, rows of a shard together."""
+    """Write docs as Parquet with a folder for each shard, rows of a shard together. Folders are named by a column
+    shard, or shard_ where docs has that one already (shard__ where it has both, ...)."""
+    bits, own_id, name = (free_name(n, docs) for n in ("own_bits", "own_id", "shard"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(text))
-    where = shard(docs, limit, id_col, text_col).select(F.col("doc_id").alias("__id"), "shard").distinct()
-    marked = docs.withColumn("__bits", hash_bits(key))
-    own = marked.join(where, marked[id_col].eqNullSafe(where["__id"]) & F.lpad(F.bin("__bits"), BITS, "0").startswith(where["shard"]))
-    own.drop("__id", "__bits").repartition("shard").write.partitionBy("shard").parquet(path)
+    where = shard(docs, limit, id_col, text_col).select(F.col("doc_id").alias(own_id), F.col("shard").alias(name)).distinct()
+    marked = docs.withColumn(bits, hash_bits(key))
+    own = marked.join(where, marked[id_col].eqNullSafe(where[own_id]) & F.lpad(F.bin(bits), BITS, "0").startswith(where[name]))
+    own.drop(own_id, bits).repartition(name).write.partitionBy(name).parquet(path)

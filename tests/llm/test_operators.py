@@ -79,18 +79,36 @@ def test_near_vectors(spark):
     assert len(got) == len(rows)
 
 
-def test_bpe_round_trip(docs, empty):
+def test_bpe_round_trip(spark, docs, empty):
     import tiktoken
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
-    out, coder = bpe.encoded(docs.where(F.length("text") < 2000), path, public_tokenizers.PATTERN)
-    for r in out.withColumn("back", coder.decode(F.col("ids"))).collect():
-        assert list(r["ids"]) == ref.encode_ordinary(r["text"])
-        assert bytes(r["back"]).decode() == r["text"]
+    more = ["ab" * 1000 + " x", "the cat's  \n\n 12 345 <|endoftext|>\x00\u2028é" * 900, "漢字" * 300, " ", "a\r\nb", "'S's", "\U0001f600\u200d" * 40]
+    rows = ROWS + [(100 + k, t, "s", "extra") for k, t in enumerate(more)]
+    out, coder = bpe.encoded(spark.createDataFrame(rows, SCHEMA), path, public_tokenizers.PATTERN)
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, list(r["ids"]), bytes(r["back"])) for r in out.withColumn("back", coder.decode(F.col("ids"))).collect())
+    want = sorted((k is not None, k or 0, ref.encode_ordinary(t or ""), (t or "").encode()) for k, t, *_ in rows)
+    assert got == want
     assert bpe.encoded(empty, path, public_tokenizers.PATTERN)[0].count() == 0
 
 
+def test_bpe_without_frequent_words(spark, docs, monkeypatch):
+    """Every word is folded in its text."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    want = {r["doc_id"]: list(r["ids"]) for r in bpe.encoded(docs, path, public_tokenizers.PATTERN)[0].collect()}
+    monkeypatch.setattr(bpe, "FREQUENT", 0)
+    assert {r["doc_id"]: list(r["ids"]) for r in bpe.encoded(docs, path, public_tokenizers.PATTERN)[0].collect()} == want
+
+
+def test_rank_map():
+    rnd = np.random.default_rng(5)
+    pairs = {int(a): int(b) for a, b in zip(rnd.integers(0, 2**31, 3000), rnd.integers(0, 50000, 3000))}
+    table, seeds = bpe.place_pairs(pairs)
+    at = lambda p: table[(p + seeds[p % bpe.BUCKETS] * (p % bpe.STRIDE + 1)) % len(table)]
+    assert all(at(p) == p * bpe.ID + r for p, r in pairs.items()) and sum(x >= 0 for x in table) == len(pairs)
+
+
 def encoded(text, name):
     from tokenizers import Tokenizer
 
@@ -166,6 +184,35 @@ def test_line_dedup(spark, empty):
     assert line_dedup.drop_boilerplate(empty).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_line_dedup_either_join(spark, monkeypatch, limit):
+    """Boilerplate lines by brute force, broadcast and in salted parts; repeated rows, null hosts and ids, clashing columns."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", limit)
+    rows = [(k % 23 if k % 7 else None, "\n".join(f"line {(k * j) % 19}" for j in range(k % 6)) or None, ("a", "b", None)[k % 3], k) for k in range(150)]
+    rows += rows[:5] + [(999, "long line " * 3000 + "\nline 1", "a", 0)]
+    pages = collections.defaultdict(list)
+    for _, t, h, _ in rows:
+        pages[h].append((t or "").split("\n"))
+    want = []
+    for k, t, h, _ in rows:
+        drop = {x for page in pages[h] for x in page if x and sum(x in p for p in pages[h]) >= 3 and sum(x in p for p in pages[h]) > 0.1 * len(pages[h])}
+        lines = (t or "").split("\n")
+        want.append((str(k), "\n".join(x for x in lines if x not in drop), len(lines), sum(x in drop for x in lines)))
+    got = line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string, boiler long"), 0.1, 3).collect()
+    assert sorted((str(r["doc_id"]), r["clean_text"], r["n_lines"], r["n_dropped"]) for r in got) == sorted(want)
+
+
+def test_clashing_columns(spark, tmp_path):
+    rows = [(1, "A b", 5, "x", 7, 8), (2, "a B", 6, "y", 7, 8), (3, "c", None, None, 7, 8), (3, "c", None, None, 7, 8), (None, "d", 1, "z", 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own_sha long, shard string, number long, kept_id long")
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[0], rows[2], rows[4]]))
+    sharding.write_shards(docs, 2, f"file://{tmp_path}/shards")
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert "shard_" in back.columns and collections.Counter(map(str, map(tuple, back.select(*docs.columns).collect()))) == collections.Counter(map(str, rows))
+
+
 def test_sharding(docs, empty):
     got = sharding.shard(docs, 500).collect()
     assert len(got) == len(ROWS)
