@@ -16,6 +16,7 @@ from quillstrand.functions import scores
 from quillstrand.functions import sequence as sq
 from quillstrand.operators import metrics, relations
 from quillstrand.plans import completion, heads, likelihood
+from quillstrand.shared import stash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,7 +102,7 @@ f AS (SELECT bucket, bpb, CASE WHEN isfinite(bpb) THEN bpb END AS x FROM k WHERE
 SELECT bucket, round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max,
 count(*) AS count, count(x) AS valid_count FROM f GROUP BY bucket""")
 def bpb_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _bpb(spark, sf_dir)
+    b = stash(_bpb(spark, sf_dir), "bpb")  # read twice: for the cuts and for the summary
     a, m, z = b.agg(F.percentile("sequence_chars", F.array(F.lit(0.05), F.lit(0.33), F.lit(0.66)))).first()[0]
     named = b.withColumn("bucket", relations.length_buckets(F.col("sequence_chars"), [F.lit(a), F.lit(m), F.lit(z)])).where("bucket is not null")
     return named.groupBy("bucket").agg(*metrics.five_numbers(F.col("bpb"), 6))

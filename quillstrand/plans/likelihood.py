@@ -11,21 +11,28 @@ from pyspark.sql import functions as F
 from quillstrand.functions import scores
 
 
+def _grams(text: Column, order: int) -> Column:
+    """All runs of order + 1 letters, in one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{order + 1}}}))."), F.lit(1))
+
+
+def _parts(order: int) -> list[Column]:
+    return [F.substring("gram", 1, order).alias("context"), F.substring("gram", order + 1, 1).alias("letter")]
+
+
 def markov_counts(train: DataFrame, text: str, order: int = 0) -> DataFrame:
     """(context, letter, n, total): counts of each letter after each context of order letters."""
-    n = F.length(text)
-    places = F.explode(F.sequence(F.lit(order + 1), n)).alias("i")
-    grams = train.where(n > order).select(F.col(text).alias("t"), places).select(F.substring(F.col("t"), F.col("i") - order, F.lit(order)).alias("context"), F.substring(F.col("t"), F.col("i"), F.lit(1)).alias("letter"))
-    counts = grams.groupBy("context", "letter").agg(F.count("*").alias("n"))
-    return counts.withColumn("total", F.sum("n").over(Window.partitionBy("context")))
+    grams = train.select(F.explode(_grams(F.col(text), order)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return grams.select(*_parts(order), "n").withColumn("total", F.sum("n").over(Window.partitionBy("context")))
 
 
 def markov_scores(df: DataFrame, counts: DataFrame, key: str, text: str, order: int = 0, after: int = scores.SCORED_AFTER, letters: int = 256) -> DataFrame:
     """(key, avg_nll_token, token_count): mean of -ln p with one added to each count, over letters past `after`."""
-    places = F.explode(F.sequence(F.lit(max(after, order) + 1), F.length(text))).alias("i")
-    rows = df.where(F.length(text) > max(after, order)).select(key, F.col(text).alias("t"), places)
-    # Equal letters of a row are counted once before the join.
-    rows = rows.select(key, F.substring(F.col("t"), F.col("i") - order, F.lit(order)).alias("context"), F.substring(F.col("t"), F.col("i"), F.lit(1)).alias("letter")).groupBy(key, "context", "letter").agg(F.count("*").alias("c"))
+    first = max(after, order)
+    scored = F.substring(F.col(text), F.lit(first - order + 1), F.length(text))
+    rows = df.where(F.length(text) > first).select(key, F.explode(_grams(scored, order)).alias("gram"))
+    # Equal grams of a row are counted once before the join.
+    rows = rows.groupBy(key, "gram").agg(F.count("*").alias("c")).select(key, *_parts(order), "c")
     p = (F.coalesce("n", F.lit(0)) + 1.0) / (F.coalesce("total", F.lit(0)) + float(letters))
     totals = rows.join(counts, ["context", "letter"], "left").groupBy(key).agg(F.sum(F.col("c") * -F.log(p)).alias("nll"), F.sum("c").alias("token_count"))
     return totals.select(key, (F.col("nll") / F.col("token_count")).alias("avg_nll_token"), "token_count")

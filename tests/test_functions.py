@@ -92,3 +92,28 @@ def test_unique_right_side(spark):
     assert sorted(r["v"] for r in relations.attach_many_to_one(left, right, "k").collect()) == ["a", "n"]
     with pytest.raises(ValueError):
         relations.attach_many_to_one(left, right.union(right), "k")
+
+
+@pytest.mark.parametrize("order", [0, 2])
+def test_markov(spark, order):
+    from quillstrand.plans import likelihood
+
+    texts = {1: "ACGTACGTTTGACA", 2: "GG\nAC🙂AC🙂A", 3: "", 4: "AC", 5: "TTTTTTTTT"}
+    df = spark.createDataFrame(list(texts.items()), "id long, s string")
+    counts = likelihood.markov_counts(df, "s", order)
+    seen = {}
+    for t in texts.values():
+        for i in range(order, len(t)):
+            seen[t[i - order : i], t[i]] = seen.get((t[i - order : i], t[i]), 0) + 1
+    assert {(r["context"], r["letter"]): r["n"] for r in counts.collect()} == seen
+    total = {c: sum(n for (d, _), n in seen.items() if d == c) for c, _ in seen}
+    got = {r["id"]: (r["avg_nll_token"], r["token_count"]) for r in likelihood.markov_scores(df, counts, "id", "s", order, after=3).collect()}
+    for k, t in texts.items():
+        nll = [-math.log((seen[t[i - order : i], t[i]] + 1) / (total[t[i - order : i]] + 256)) for i in range(3, len(t))]
+        assert (k in got) == bool(nll) and (not nll or got[k] == (pytest.approx(sum(nll) / len(nll)), len(nll)))
+
+
+def test_binary_metrics_without_positives(spark):
+    got = metrics.binary(spark.createDataFrame([(False, False), (False, False)], "label boolean, pred boolean")).first()
+    assert tuple(got) == (1.0, 0.0, 0.0, 0.0, 0.0)
+    assert metrics.confusion_filled(spark.createDataFrame([], "label int, pred int")).count() == 0
