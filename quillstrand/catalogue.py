@@ -109,8 +109,8 @@ def bpb_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT event_id, value AS bpb, value / 100 AS a, CAST(event_id % 700 AS BIGINT) AS tok, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id % 600 AS BIGINT) END AS ch, CAST(event_id % 900 AS BIGINT) AS chars FROM events),
-w AS (SELECT *, coalesce(ch + 128, chars) AS whole FROM e), x AS (SELECT *, greatest(0, whole - 128) AS ex FROM w),
-y AS (SELECT *, coalesce(ch = ex AND ex > 0 AND tok >= ex, false) AS changed FROM x)
+w AS (SELECT *, coalesce(ch + 128, chars) AS whole FROM e), x AS (SELECT *, whole - 128 AS ex FROM w),
+y AS (SELECT *, ex > 0 AND tok > 0 AND NOT coalesce(ch = ex AND tok >= ex, false) AS changed FROM x)
 SELECT event_id, changed, round(CASE WHEN changed THEN a * tok / least(whole - 128, tok) / ln(2.0::DOUBLE) ELSE bpb END, 4) AS bpb FROM y""")
 def bpb_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
@@ -209,10 +209,8 @@ def attach_many_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH a AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_custkey % 3 AS k FROM orders), b AS (SELECT row_number() OVER (ORDER BY c_custkey) AS i, c_custkey % 3 AS k, c_acctbal FROM customer)
 SELECT i, a.k AS k, c_acctbal, a.k IS NOT DISTINCT FROM b.k AS aligned FROM a FULL JOIN b USING (i)""")
 def attach_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    a = _table(spark, sf_dir, "orders").select(F.row_number().over(Window.orderBy("o_orderkey")).cast("long").alias("i"), (F.col("o_custkey") % 3).alias("k"))
-    b = _table(spark, sf_dir, "customer").select(F.row_number().over(Window.orderBy("c_custkey")).cast("long").alias("i"), (F.col("c_custkey") % 3).alias("k"), "c_acctbal")
+    a = relations.numbered(_table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 3).alias("k")), ["o_orderkey"])
+    b = relations.numbered(_table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 3).alias("k"), "c_acctbal"), ["c_custkey"])
     return relations.attach_positional(a, b, "i", "k").select("i", "k", "c_acctbal", "aligned")
 
 
@@ -368,7 +366,7 @@ def translate_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sequences(spark, sf_dir).select("doc_id", sq.translate_codons("seq", "fixed_frame", 1).alias("protein"))
 
 
-@query("SELECT page_id, regexp_extract(u, '^(?:chr)?([0-9XYM]+):([0-9]+)-([0-9]+)', 1) AS chrom, CAST(regexp_extract(u, ':([0-9]+)-', 1) AS BIGINT) AS start, CAST(regexp_extract(u, '-([0-9]+)', 1) AS BIGINT) AS stop, CASE WHEN page_id % 2 = 0 THEN '+' ELSE '-' END AS strand FROM (SELECT page_id, 'chr' || (page_id % 22 + 1) || ':' || page_id || '-' || (page_id + 100) || CASE WHEN page_id % 4 = 0 THEN '' WHEN page_id % 2 = 0 THEN ':+' ELSE ':-' END AS u FROM pages)")
+@query("SELECT page_id, nullif(regexp_extract(u, '^(?:chr)?([0-9XYM]+):[0-9]+-[0-9]+:[+-]$', 1), '') AS chrom, CASE WHEN page_id % 4 <> 0 THEN page_id END AS start, CASE WHEN page_id % 4 <> 0 THEN page_id + 100 END AS stop, CASE WHEN page_id % 4 <> 0 THEN CASE WHEN page_id % 2 = 0 THEN '+' ELSE '-' END END AS strand FROM (SELECT page_id, 'chr' || (page_id % 22 + 1) || ':' || page_id || '-' || (page_id + 100) || CASE WHEN page_id % 4 = 0 THEN '' WHEN page_id % 2 = 0 THEN ':+' ELSE ':-' END AS u FROM pages)")
 def locus_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id")
     u = F.concat(F.lit("chr"), (k % 22 + 1).cast("string"), F.lit(":"), k.cast("string"), F.lit("-"), (k + 100).cast("string"), F.when(k % 4 == 0, "").when(k % 2 == 0, ":+").otherwise(":-"))

@@ -145,3 +145,54 @@ def l2_normalised(v: Column) -> Column:
 
 def four_places(x: Column) -> Column:
     return F.when(is_finite(x), F.format_string("%.4f", x)).otherwise(F.lit(""))
+
+
+def mean_log_prob(log_probs: Column, n: Column) -> Column:
+    """Mean over the first n - 1 places of an array (a sequence of n tokens predicts n - 1); 0 if there are none."""
+    return array_mean(F.slice(log_probs, F.lit(1), F.greatest(F.least(n - 1, F.size(log_probs)), F.lit(0))), 0.0)
+
+
+def array_mean(x: Column, empty: float) -> Column:
+    total = F.aggregate(x, F.lit(0.0), lambda a, b: a + b.cast("double"))
+    return F.when(F.size(x) > 0, total / F.size(x)).otherwise(F.lit(empty))
+
+
+def _where(x: Column, mask: Column | None) -> Column:
+    return x if mask is None else F.transform(F.filter(F.arrays_zip(x.alias("x"), mask.alias("m")), lambda e: e["m"] > 0), lambda e: e["x"])
+
+
+def masked_mean(x: Column, mask: Column, empty: float = 0.0) -> Column:
+    """Mean of the places with a mask over 0; empty if there are none (some providers ask for NaN)."""
+    return array_mean(_where(x, mask), empty)
+
+
+def averaged(a: Column, b: Column) -> Column:
+    """Half the sum of two arrays, place by place: a prediction and that of the reverse complement."""
+    return F.zip_with(a, b, lambda x, y: 0.5 * (x + y))
+
+
+def pooled(tokens: Column, how: str = "mean", mask: Column | None = None) -> Column:
+    """One vector of an array of token vectors by mean, max, min, cls (the first token) or final (the last). Tokens with a
+    mask of 0 don't count, except for cls; if none counts, the mean is zero and the others take all tokens."""
+    full = F.transform(tokens, lambda v: F.transform(v, lambda x: x.cast("double")))
+    kept = _where(full, mask)
+    used = F.when(F.size(kept) > 0, kept).otherwise(full)
+    fold = lambda vs, f: F.aggregate(F.slice(vs, F.lit(2), F.size(vs)), vs[0], lambda a, v: F.zip_with(a, v, f))
+    if how == "mean":
+        none = F.size(kept) == 0
+        return F.transform(fold(used, lambda a, b: a + b), lambda x: F.when(none, F.lit(0.0)).otherwise(x / F.size(used)))
+    if how in ("max", "min"):
+        return fold(used, F.greatest if how == "max" else F.least)
+    if how not in ("cls", "final"):
+        raise ValueError(f"unknown pooling: {how}")
+    return full[0] if how == "cls" else F.element_at(used, -1)
+
+
+def perplexity_fields(nll: Column, tokens: Column, chars: Column, mode: str = "token") -> Column:
+    """struct(avg_nll_token, avg_nll_char, ppl_token, ppl_char, ppl) of a summed negative log-likelihood; NaN where the
+    count is not over 0. ppl is that of mode."""
+    if mode not in ("token", "char"):
+        raise ValueError(f"unknown mode: {mode}")
+    mean = lambda n: F.when(n > 0, nll / n).otherwise(nan())
+    t, c = mean(tokens), mean(chars)
+    return F.struct(t.alias("avg_nll_token"), c.alias("avg_nll_char"), safe_exp(t).alias("ppl_token"), safe_exp(c).alias("ppl_char"), safe_exp(c if mode == "char" else t).alias("ppl"))

@@ -66,6 +66,11 @@ def is_strict_dna(s: Column | str) -> Column:
     return _text(s).rlike("^[ACGTN]+\\z")
 
 
+def strict_dna(s: Column | str) -> Column:
+    """The text, if it is letters of A, C, G, T, N alone; any other fails the query."""
+    return F.when(is_strict_dna(s), _text(s)).otherwise(F.raise_error(F.lit("sequence has letters other than A, C, G, T, N")))
+
+
 def codons(s: Column) -> Column:
     """Whole codons from the first letter on."""
     return F.coalesce(F.regexp_extract_all(s, F.lit("(?s)..."), F.lit(0)), F.array().cast("array<string>"))
@@ -207,14 +212,14 @@ def sequence_type(s: Column | str) -> Column:
     return F.when(F.upper(_text(s)).rlike("^[ACGTUN-]*\\z"), F.lit("gene")).otherwise(F.lit("prot"))
 
 
-LOCUS = r"(?i)^(?:chr)?([0-9XYM]+):([0-9]+)-([0-9]+)(?::([+-]))?\z"
+LOCUS = r"(?i)^(?:chr)?([0-9XYM]+):([0-9]+)-([0-9]+):([+-])\z"
 
 
 def locus(s: Column | str) -> Column:
-    """struct(chrom, start, stop, strand); null where the text is no locus; strand + if it is left out."""
+    """struct(chrom, start, stop, strand), the chromosome as it stands; null where the text is no locus or has no strand."""
     c = _text(s)
     part = lambda k: F.regexp_extract(c, LOCUS, k)
-    fields = F.struct(F.upper(part(1)).alias("chrom"), part(2).cast("long").alias("start"), part(3).cast("long").alias("stop"), F.when(part(4) == "", "+").otherwise(part(4)).alias("strand"))
+    fields = F.struct(part(1).alias("chrom"), part(2).cast("long").alias("start"), part(3).cast("long").alias("stop"), part(4).alias("strand"))
     return F.when(c.rlike(LOCUS), fields)
 
 

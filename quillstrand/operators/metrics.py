@@ -174,3 +174,20 @@ def early_stop(epochs: DataFrame, run: str, order: str, metric: str, min_delta:
     return out.select(run, F.col("s.best").alias("best"), F.col("s.at").alias("best_epoch"), F.nullif(F.col("s.stop"), F.lit(-1).cast("long")).alias("stopped"))
 
 
+#: Short names of metrics.
+ALIASES = {"acc": "accuracy", "f1": "f1_macro"}
+#: Metrics that early stopping may watch.
+WATCHED = ("mcc", "accuracy", "f1_macro", "auprc")
+
+
+def watched_metric(name: str) -> str:
+    """The full name of a metric that early stopping may watch; ValueError for another."""
+    full = ALIASES.get(name, name)
+    if full not in WATCHED:
+        raise ValueError(f"unknown metric: {name}")
+    return full
+
+
+def average_loss(loss: Column, n: Column) -> Column:
+    """Mean of batch losses, weighted by the batches' rows."""
+    return F.sum(loss * n) / F.nullif(F.sum(n), F.lit(0))

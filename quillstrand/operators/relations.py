@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstrand.functions import scores
 from quillstrand.functions.sequence import WHITE
+from quillstrand.shared import free_name, stash
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -161,3 +162,68 @@ def predictions(rows: DataFrame, vocabulary: DataFrame, metadata: DataFrame, key
     out = decode_labels(out, vocabulary, "predicted_label_id", "predicted_label")
     more = [c for c in metadata.columns if c != key]
     return out.join(metadata, key, "left").select(key, "true_label_id", "true_label", "predicted_label_id", "predicted_label", "confidence", *more)
+
+
+def numbered(df: DataFrame, order: list[str], out: str = "i") -> DataFrame:
+    """df with out, its row numbers from 1 by the order columns, without the whole table in one task: rows are dealt to
+    ranges, which are counted and numbered each for itself. Rows equal in all order columns share a range."""
+    part, before = free_name("part", df), free_name("before", df)
+    ranged = stash(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(part).agg(F.count("*").alias(before))  # a row a range
+    up_to = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(part, F.coalesce(F.sum(before).over(up_to), F.lit(0)).alias(before))
+    own = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return ranged.join(F.broadcast(offsets), part).withColumn(out, (own + F.col(before)).cast("long")).drop(part, before)
+
+
+def split_shares(df: DataFrame, split: str, wanted: dict[str, float], slack: float = 0.02) -> DataFrame:
+    """(split, n, share, as_wanted): rows of each wanted split, 0 where there are none, and whether its share of all rows
+    departs from the wanted one by no more than slack."""
+    spark = df.sparkSession
+    plan = spark.createDataFrame(list(wanted.items()), f"{split} string, wanted double")
+    rows = plan.join(df.groupBy(split).agg(F.count("*").alias("n")), split, "full")  # a row a split
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    share = n / F.nullif(F.sum("n").over(Window.partitionBy()), F.lit(0))
+    return rows.select(split, n.alias("n"), share.alias("share"), (F.abs(share - F.col("wanted")) <= slack).alias("as_wanted"), "wanted").where("wanted is not null").drop("wanted")
+
+
+def time_order(df: DataFrame, split: str, date: str, order: list[str]) -> DataFrame:
+    """(earlier, later, last, first, in_order): for each two splits of order that follow one another, the last date of
+    one, the first of the other, and whether the first isn't before the last."""
+    at = F.array_position(F.array(*[F.lit(s) for s in order]), F.col(split))
+    ends = df.groupBy(split).agg(F.min(date).alias("first"), F.max(date).alias("last")).withColumn("at", at).where("at > 0")
+    a = ends.select(F.col(split).alias("earlier"), "last", (F.col("at") + 1).alias("at"))
+    b = ends.select(F.col(split).alias("later"), "first", "at")
+    return a.join(b, "at").select("earlier", "later", "last", "first", (F.col("last") <= F.col("first")).alias("in_order"))
+
+
+def full_weights(vocabulary: DataFrame, weights: DataFrame, label: str = "label_id") -> DataFrame:
+    """(label_id, weight) for each class of the vocabulary; 1 for a class that the weights don't hold."""
+    return vocabulary.select(label).join(weights, label, "left").select(label, F.coalesce("weight", F.lit(1.0)).alias("weight"))
+
+
+def kept_and_dropped(df: DataFrame, keep: Column, by: str) -> DataFrame:
+    """(by, kept, dropped): how many rows a filter keeps; an unknown answer drops."""
+    good = F.coalesce(keep, F.lit(False))
+    return df.groupBy(by).agg(F.count_if(good).alias("kept"), F.count_if(~good).alias("dropped"))
+
+
+def with_errors(df: DataFrame, checks: dict[str, Column], measures: list[str]) -> DataFrame:
+    """df with error: the name, 200 letters at most, of the first check that holds. Such rows have NaN in measures."""
+    error = F.coalesce(*[F.when(c, F.lit(n[:200])) for n, c in checks.items()])
+    marked = df.withColumn("error", error)
+    return marked.withColumns({m: F.when(F.col("error").isNotNull(), scores.nan()).otherwise(F.col(m)) for m in measures})
+
+
+def reduce_chunks(df: DataFrame, key: str, vector: str, order: str, how: str = "mean") -> DataFrame:
+    """(key, vector): logits of the chunks of a long sequence, element-wise by mean or max."""
+    if how not in ("mean", "max"):
+        raise ValueError(f"unknown reduction: {how}")
+    return pool(df, key, vector, order).select(key, F.col(how).alias(vector))
+
+
+def epoch_order(df: DataFrame, row: str, seed: int, epoch: int, chunk: str | None = None) -> DataFrame:
+    """Rows in the order of a hash of seed, epoch and row, inside each chunk if there are chunks; another epoch gives
+    another order. Not the numbers of any generator."""
+    rank = F.xxhash64(F.lit(seed), F.lit(epoch), F.col(row))
+    return df.orderBy(*([chunk] if chunk else []), rank, row)

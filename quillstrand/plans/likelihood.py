@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstrand.functions import scores
+from quillstrand.operators import metrics
 
 
 def _grams(text: Column, order: int) -> Column:
@@ -47,11 +48,13 @@ def per_sample(details: DataFrame, sequences: DataFrame, key: str, text: str) ->
 
 
 def recomputed(bpb: Column, avg_nll: Column, tokens: Column, char_count: Column, chars: Column) -> Column:
-    """struct(value, changed): bits per base to four places. It is recomputed where the stored count is the length past
-    the offset and tokens reach it; else the stored value stays."""
+    """struct(value, changed): bits per base to four places. A stored char_count tells the length, or else chars does. The
+    stored value stays where char_count and enough tokens cover the length past the offset, and where there is nothing
+    to compute from; any other row is recomputed."""
     whole = F.coalesce(char_count + scores.SCORED_AFTER, chars)
-    expected = F.greatest(F.lit(0), whole - scores.SCORED_AFTER)
-    again = F.coalesce((char_count == expected) & (expected > 0) & (tokens >= expected) & scores.is_finite(avg_nll), F.lit(False))
+    expected = whole - scores.SCORED_AFTER
+    covered = F.coalesce((char_count == expected) & (tokens >= expected), F.lit(False))
+    again = F.coalesce((expected > 0) & ~covered & scores.is_finite(avg_nll) & (tokens > 0), F.lit(False))
     old = F.when(scores.is_finite(bpb), F.round(bpb, 4))
     return F.struct(F.when(again, F.round(scores.bits_per_base(avg_nll, tokens, chars=whole), 4)).otherwise(old).alias("value"), again.alias("changed"))
 
@@ -71,6 +74,44 @@ def last_stride_plan(lengths: DataFrame, key: str, n: str, window: int, stride:
     return sliding_plan(lengths, key, n, window, stride).withColumn("scored", F.least(F.lit(stride).cast("long"), F.col("end") - F.col("begin")))
 
 
+def end_aligned_plan(lengths: DataFrame, key: str, n: str, window: int, stride: int, start: int = 0) -> DataFrame:
+    """(key, begin, end, scored): ends at window, window + stride, ... and n; a window reaches back from its end as far as
+    it can, so the last one is full. scored counts its tokens at start or later that no earlier window reached."""
+    last = F.greatest(F.lit(0), F.ceil((F.col(n) - window) / F.lit(float(stride))).cast("int"))
+    rows = lengths.where(F.col(n) > 0).select(key, n, F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    end = F.least(F.col("k") * stride + window, F.col(n))
+    begin = F.greatest(F.lit(0), end - window)
+    before = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.least((F.col("k") - 1) * stride + window, F.col(n)))
+    first = F.greatest(before, begin, F.lit(start))
+    return rows.select(key, begin.cast("long").alias("begin"), end.cast("long").alias("end"), F.greatest(end - first, F.lit(0)).cast("long").alias("scored"))
+
+
+def range_plan(lengths: DataFrame, key: str, n: str, window: int, stride: int, start: int = 1) -> DataFrame:
+    """(key, begin, end, first, last): tokens from start (1 at least) are scored stride at a time, each time in a window
+    that ends with them and reaches back up to window tokens; sequences of at most window tokens are one window. The
+    tokens are those of the window's predictions [first, last), the prediction at place j being of token begin + 1 + j."""
+    start = max(start, 1)
+    rows = lengths.where(F.col(n) > start).select(key, n, F.explode(F.sequence(F.lit(start), F.col(n) - 1, F.lit(stride))).alias("cut"))
+    short = F.col(n) <= window
+    rows = rows.where(~short | (F.col("cut") == start))
+    end = F.when(short, F.col(n)).otherwise(F.least(F.col("cut") + stride, F.col(n)))
+    rows = rows.select(key, "cut", end.cast("long").alias("end"), F.greatest(F.lit(0), end - window).cast("long").alias("begin"))
+    first = F.greatest(F.col("cut") - F.col("begin") - 1, F.lit(0)).cast("long")
+    return rows.select(key, "begin", "end", first.alias("first"), (F.col("end") - F.col("begin") - 1).alias("last")).where("first < last")
+
+
+def recompute_summary(rows: DataFrame, value: str, by: str) -> DataFrame:
+    """Five numbers per group of values to four places, themselves to four places; only finite values are counted."""
+    x = F.round(F.col(value), 4)
+    return rows.where(scores.is_finite(F.col(value))).groupBy(by).agg(*metrics.five_numbers(x, 4))
+
+
+def rewritten_count(changed: Column, chars: Column, char_count: Column) -> Column:
+    """char_count, or where the row was recomputed its length past the offset (unknown lengths are 0)."""
+    past = F.greatest(F.lit(0), F.coalesce(chars, F.lit(0)) - scores.SCORED_AFTER)
+    return F.when(changed, past).otherwise(char_count)
+
+
 def perplexity(avg_nll: Column) -> Column:
     return scores.safe_exp(avg_nll)
 

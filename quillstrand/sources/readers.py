@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstrand.operators import relations
+
 SEQUENCE_LIST = "taxid long, sequences array<string>"
 SEQUENCE = "taxid long, sequence string"
 DATASETS = {f"{na}-{label}-{check}" for na in ("ALL", "DNA", "RNA") for label in ("host", "taxon") for check in ("genus", "times")}
@@ -87,5 +89,22 @@ def read_model_results(spark: SparkSession, root: str, schema: str) -> DataFrame
     return rows.select("*", parts[0].alias("bucket"), parts[1].alias("model")).where(~F.col("bucket").startswith("."))
 
 
-def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def attach_sequences(spark: SparkSession, metadata: DataFrame, split_dir: str, split: str) -> DataFrame:
+    """metadata with sequence by taxid, the sequences of a list put together; null where the split has no file or no row."""
+    path = sequence_file(spark, split_dir, split)
+    if path is None:
+        return metadata.withColumn("sequence", F.lit(None).cast("string"))
+    rows = read_sequences(spark, path)
+    whole = F.array_join("sequences", "") if "sequences" in rows.columns else F.col("sequence")
+    return relations.attach_many_to_one(metadata, rows.select("taxid", whole.alias("sequence")), "taxid")
+
+
+def read_embeddings(spark: SparkSession, *paths: str) -> DataFrame:
+    """The chunks one after another; groups stays only if every chunk has it."""
+    chunks = [spark.read.parquet(p) for p in paths]
+    shared = all("groups" in c.columns for c in chunks)
+    chunks = chunks if shared else [c.drop("groups") for c in chunks]
+    out = chunks[0]
+    for c in chunks[1:]:
+        out = out.unionByName(c)
+    return out

@@ -36,3 +36,10 @@ def rewrite_lines(lines: DataFrame, schema: str, change, path: str) -> None:
     """lines: value. Lines that parse are rewritten by change(struct column), others and blank ones pass as they are."""
     parsed = F.from_json("value", schema)
     lines.select(F.coalesce(F.when(parsed.isNotNull() & (F.trim("value") != ""), F.to_json(change(parsed))), F.col("value")).alias("value")).write.text(path)
+
+
+def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
+    """One JSON object of label to id, in the order of ids; a vocabulary has a row a class."""
+    pairs = F.sort_array(F.collect_list(F.struct("label_id", "label")))
+    by_label = F.map_from_arrays(F.col("p.label"), F.col("p.label_id"))
+    vocabulary.agg(pairs.alias("p")).select(F.to_json(by_label).alias("value")).coalesce(1).write.text(path)
