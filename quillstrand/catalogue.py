@@ -597,3 +597,127 @@ def early_stop_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lr_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "embeddings")
     return heads.logistic_head(e.where("vec_id % 10 < 8"), e.where("vec_id % 10 = 9"), "embedding", "label").select("vec_id", "label", "pred")
+
+
+# --- plans over tokens, provider outputs, audits ------------------------------------------------------------------
+
+D_LEN = "l AS (SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents)"
+
+
+def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
+
+
+@query(f"""WITH {D_LEN}, k AS (SELECT doc_id, n, unnest(range(0, CAST(greatest(0, ceil((n - 512) / 200.0::DOUBLE)) AS BIGINT) + 1)) AS k FROM l WHERE n > 0),
+e AS (SELECT doc_id, k, least(k * 200 + 512, n) AS e, CASE WHEN k = 0 THEN 0 ELSE least((k - 1) * 200 + 512, n) END AS p FROM k)
+SELECT doc_id, greatest(0, e - 512) AS "begin", e AS "end", greatest(0, e - greatest(p, greatest(0, e - 512), 128)) AS scored FROM e""")
+def end_aligned_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood.end_aligned_plan(_lengths(spark, sf_dir), "doc_id", "n", 512, 200, 128)
+
+
+@query(f"""WITH {D_LEN}, k AS (SELECT doc_id, n, unnest(range(0, CAST(greatest(0, ceil((n - 512) / 200.0::DOUBLE)) AS BIGINT) + 1)) AS k FROM l WHERE n > 0)
+SELECT doc_id, k * 200 AS "begin", least(k * 200 + 512, n) AS "end", least(200, least(k * 200 + 512, n) - k * 200) AS scored FROM k""")
+def last_stride_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood.last_stride_plan(_lengths(spark, sf_dir), "doc_id", "n", 512, 200)
+
+
+@query(f"""WITH {D_LEN}, k AS (SELECT doc_id, n, unnest(range(128, n, 200)) AS a FROM l WHERE n > 512), e AS (SELECT doc_id, a, least(a + 200, n) AS e FROM k UNION ALL SELECT doc_id, 128, n FROM l WHERE n > 128 AND n <= 512)
+SELECT doc_id, greatest(0, e - 512) AS "begin", CAST(e AS BIGINT) AS "end", a - greatest(0, e - 512) - 1 AS "first", e - greatest(0, e - 512) - 1 AS "last" FROM e""")
+def token_range_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood.range_plan(_lengths(spark, sf_dir), "doc_id", "n", 512, 200, 128)
+
+
+@query("""SELECT event_type AS source, round(avg(x), 4) AS mean, round(median(x), 4) AS median, round(stddev_pop(x), 4) AS std, round(min(x), 4) AS min, round(max(x), 4) AS max, count(*) AS count, count(*) AS valid_count
+FROM (SELECT event_type, round(value, 4) AS x FROM events WHERE event_id % 7 <> 0) GROUP BY event_type""")
+def recompute_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.when(F.col("event_id") % 7 == 0, scores.nan()).otherwise(F.col("value"))
+    return likelihood.recompute_summary(_table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), v.alias("v")), "v", "source")
+
+
+@query("""WITH e AS (SELECT event_id, value / ln(3.0::DOUBLE) AS value, event_id % 50 AS tok, event_id % 90 AS chars FROM events)
+SELECT event_id, CASE WHEN tok > 0 THEN round(value / tok, 6) ELSE 'NaN'::DOUBLE END AS avg_nll_token, CASE WHEN chars > 0 THEN round(value / chars, 6) ELSE 'NaN'::DOUBLE END AS avg_nll_char,
+CASE WHEN tok > 0 THEN round(ln(exp(value / tok)), 6) ELSE 'NaN'::DOUBLE END AS log_ppl_token, CASE WHEN chars > 0 THEN round(ln(exp(value / chars)), 6) ELSE 'NaN'::DOUBLE END AS log_ppl FROM e""")
+def perplexity_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexities by their logarithms: those of single tokens are too large to round. The divisor keeps ties away."""
+    k = F.col("event_id")
+    p = scores.perplexity_fields(F.col("value") / F.log(F.lit(3.0)), k % 50, k % 90, "char")
+    e = _table(spark, sf_dir, "events").select("event_id", p.alias("p"))
+    shown = {"avg_nll_token": F.col("p.avg_nll_token"), "avg_nll_char": F.col("p.avg_nll_char"), "log_ppl_token": F.log("p.ppl_token"), "log_ppl": F.log("p.ppl")}
+    return e.select("event_id", *[F.round(c, 6).alias(n) for n, c in shown.items()])
+
+
+D_VEC = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, CAST(vec_id % 70 AS BIGINT) AS n FROM embeddings)"
+
+
+@query(f"""WITH {D_VEC} SELECT vec_id, round(coalesce(list_avg(v[1:greatest(0, least(n - 1, 64))]), 0), 6) AS log_prob,
+round(coalesce(list_avg(list_filter(v, lambda x: x > 0.1)), 0), 6) AS masked, coalesce(round(list_avg(list_filter(v, lambda x: x > 0.3)), 6), 'NaN'::DOUBLE) AS pseudo FROM v""")
+def token_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over the tokens of a row: the first ones, those of a mask (0 for none), those of another (NaN for none)."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    mask = lambda t: F.transform(v, lambda x: (x > t).cast("int"))
+    made = {"log_prob": scores.mean_log_prob(v, (F.col("vec_id") % 70).cast("int")), "masked": scores.masked_mean(v, mask(0.1)), "pseudo": scores.masked_mean(v, mask(0.3), float("nan"))}
+    return _table(spark, sf_dir, "embeddings").select("vec_id", *[F.round(c, 6).alias(n) for n, c in made.items()])
+
+
+@query("""WITH e AS (SELECT vec_id // 4 AS g, CAST(unnest(embedding) AS DOUBLE) AS x, CAST(unnest(list_reverse(embedding)) AS DOUBLE) AS y, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim FROM embeddings)
+SELECT g, dim, round(avg(0.5 * (x + y)), 6) AS mean, round(max(0.5 * (x + y)), 6) AS max FROM e GROUP BY g, dim""")
+def chunk_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logits of chunks averaged with those of another pass (here the same ones reversed), then reduced per sequence."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    e = _table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 4").alias("g"), "vec_id", scores.averaged(v, F.reverse(v)).alias("z"))
+    mean, top = relations.reduce_chunks(e, "g", "z", "vec_id"), relations.reduce_chunks(e, "g", "z", "vec_id", "max").withColumnRenamed("z", "top")
+    cells = mean.join(top, "g").select("g", F.posexplode(F.arrays_zip("z", "top")).alias("dim", "x"))
+    return cells.select("g", "dim", F.round("x.z", 6).alias("mean"), F.round("x.top", 6).alias("max"))
+
+
+@query("""WITH e AS (SELECT vec_id // 8 AS g, vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim, vec_id % 3 <> 0 AND vec_id // 8 % 5 <> 0 AS ok FROM embeddings),
+m AS (SELECT g, dim, coalesce(avg(x) FILTER (ok), 0) AS mean, coalesce(max(x) FILTER (ok), max(x)) AS max, coalesce(min(x) FILTER (ok), min(x)) AS min, min_by(x, vec_id) AS cls, coalesce(max_by(x, vec_id) FILTER (ok), max_by(x, vec_id)) AS final FROM e GROUP BY g, dim)
+SELECT g, dim, round(mean, 6) AS mean, round(max, 6) AS max, round(min, 6) AS min, round(cls, 6) AS cls, round(final, 6) AS final FROM m""")
+def pool_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight vectors as the tokens of a row, some or all of them masked."""
+    ok = ((F.col("vec_id") % 3 != 0) & (F.expr("vec_id div 8") % 5 != 0)).cast("int")
+    rows = F.sort_array(F.collect_list(F.struct("vec_id", "embedding", ok.alias("ok"))))
+    g = _table(spark, sf_dir, "embeddings").groupBy(F.expr("vec_id div 8").alias("g")).agg(rows.alias("t"))
+    pools = g.select("g", *[scores.pooled(F.col("t.embedding"), n, F.col("t.ok")).alias(n) for n in relations.POOLS])
+    cells = pools.select("g", F.posexplode(F.arrays_zip(*relations.POOLS)).alias("dim", "x"))
+    return cells.select("g", "dim", *[F.round(F.col("x")[n], 6).alias(n) for n in relations.POOLS])
+
+
+@query(f"WITH {D_VOCAB}, c AS (SELECT label_id, count(*) AS n FROM documents JOIN v ON trim(source) = label WHERE doc_id % 3 = 0 AND label_id < 12 GROUP BY label_id), w AS (SELECT label_id, sum(n) OVER () / (count(*) OVER () * n) AS weight FROM c) SELECT label_id, round(coalesce(weight, 1), 9) AS weight FROM v LEFT JOIN w USING (label_id)")
+def full_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vocabulary(spark, sf_dir)
+    seen = relations.encode_labels(_table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("source"), v, "source").where("label_id < 12")
+    return relations.full_weights(v, relations.class_weights(seen)).select("label_id", F.round("weight", 9).alias("weight"))
+
+
+@query(f"WITH s AS (SELECT {D_SPLIT} AS split, count(*) AS n FROM documents GROUP BY 1) SELECT split, n, round(n / sum(n) OVER (), 6) AS share, abs(n / sum(n) OVER () - CASE split WHEN 'train' THEN 0.8 ELSE 0.1 END) <= 0.02 AS as_wanted FROM s")
+def split_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 10
+    rows = _table(spark, sf_dir, "documents").select(F.when(k < 8, "train").when(k == 8, "val").otherwise("test").alias("split"))
+    return relations.split_shares(rows, "split", {"train": 0.8, "val": 0.1, "test": 0.1}).withColumn("share", F.round("share", 6))
+
+
+@query("""WITH s AS (SELECT CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 1 WHEN o_orderkey % 2 = 0 THEN 2 ELSE 3 END AS k, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d FROM orders), e AS (SELECT k, min(d) AS first, max(d) AS last FROM s GROUP BY k)
+SELECT ['train', 'val', 'test'][a.k] AS earlier, ['train', 'val', 'test'][b.k] AS later, a.last AS last, b.first AS first, a.last <= b.first AS in_order FROM e a JOIN e b ON b.k = a.k + 1""")
+def time_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = F.when(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp"), "train").when(F.col("o_orderkey") % 2 == 0, "val").otherwise("test")
+    rows = _table(spark, sf_dir, "orders").select(split.alias("split"), F.to_date("o_orderdate").cast("string").alias("d"))
+    return relations.time_order(rows, "split", "d", ["train", "val", "test"])
+
+
+@query("SELECT lang, count(*) FILTER (quality >= 0) AS kept, count(*) FILTER (quality IS NULL) AS dropped FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY lang")
+def kept_and_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = relations.attach_many_to_one(_table(spark, sf_dir, "documents").select("doc_id", "lang"), _table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return relations.kept_and_dropped(rows, F.col("quality") >= 0, "lang")
+
+
+@query("SELECT event_id, CASE WHEN value > 400 THEN 'too large' WHEN event_id % 11 = 0 THEN 'no tokens' END AS error, CASE WHEN value > 400 OR event_id % 11 = 0 THEN 'NaN'::DOUBLE ELSE value END AS bpb FROM events")
+def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").select("event_id", F.col("value").alias("bpb"))
+    return relations.with_errors(e, {"too large": F.col("bpb") > 400, "no tokens": F.col("event_id") % 11 == 0}, ["bpb"])
+
+
+@query("SELECT event_type, round(sum(value * (event_id % 64)) / sum(event_id % 64), 6) AS loss FROM events GROUP BY event_type")
+def average_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loss = metrics.average_loss(F.col("value"), F.col("event_id") % 64)
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(loss, 6).alias("loss"))

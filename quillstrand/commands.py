@@ -9,6 +9,7 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillstrand.operators import metrics, relations
 from quillstrand.plans import completion, likelihood
@@ -57,12 +58,10 @@ def completion_files(spark: SparkSession, path: str, out: str | None, summary: s
     return found
 
 
-def bits_rows(lines: DataFrame) -> DataFrame:
-    """lines (value, and others) with value rewritten where it parses: bpb recomputed by rule and to four places,
+def bits_rows(lines: DataFrame, schema: StructType) -> DataFrame:
+    """lines (value, and others; schema: that of the records in them) with value rewritten where it parses: bpb recomputed by rule and to four places,
     char_count where it changed; and bpb, skipped (the line doesn't parse), changed. Blank lines pass."""
-    spark = lines.sparkSession
-    schema = spark.read.json(lines.select("value")).schema
-    known = {f.name: f for f in spark.createDataFrame([], RECORD).schema}
+    known = {f.name: f for f in StructType.fromDDL(RECORD)}
     for f in [f for f in schema if f.name != "_corrupt_record" and f.name not in known]:
         known[f.name] = f
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.values())
@@ -83,10 +82,11 @@ def bits_rows(lines: DataFrame) -> DataFrame:
 def bits_files(spark: SparkSession, root: str, out: str, report: str) -> DataFrame:
     """Rewrite root/<bucket>/<model>/all_bpb_per_sample.jsonl to out/bucket=.../model=..., and write the report of models
     by bucket as CSV; returns the report."""
-    lines = spark.read.text(f"{root}/*/*/all_bpb_per_sample.jsonl")
+    files = f"{root}/*/*/all_bpb_per_sample.jsonl"
+    lines = spark.read.text(files)
     place = lambda k: F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/([^/]+)/[^/]+$", k)
     lines = lines.select("value", place(1).alias("bucket"), place(2).alias("model")).where(~F.col("bucket").startswith("."))
-    rows = stash(bits_rows(lines), "bits")
+    rows = stash(bits_rows(lines, spark.read.json(files).schema), "bits")
     rows.select("value", "bucket", "model").write.partitionBy("bucket", "model").text(out)
     found = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # names of folders
     table = likelihood.model_report(rows, "model", "bucket", "bpb", [b for b in BUCKETS if b in found] or found)

@@ -182,7 +182,7 @@ def pooled(tokens: Column, how: str = "mean", mask: Column | None = None) -> Col
         none = F.size(kept) == 0
         return F.transform(fold(used, lambda a, b: a + b), lambda x: F.when(none, F.lit(0.0)).otherwise(x / F.size(used)))
     if how in ("max", "min"):
-        return fold(used, F.greatest if how == "max" else F.least)
+        return fold(used, (lambda a, b: F.greatest(a, b)) if how == "max" else (lambda a, b: F.least(a, b)))
     if how not in ("cls", "final"):
         raise ValueError(f"unknown pooling: {how}")
     return full[0] if how == "cls" else F.element_at(used, -1)

@@ -62,10 +62,10 @@ def recomputed(bpb: Column, avg_nll: Column, tokens: Column, char_count: Column,
 def sliding_plan(lengths: DataFrame, key: str, n: str, window: int, stride: int) -> DataFrame:
     """(key, begin, end, scored): windows that advance by stride until the end; scored counts tokens not scored before."""
     last = F.greatest(F.lit(0), F.ceil((F.col(n) - window) / F.lit(float(stride))).cast("int"))
-    rows = lengths.where(F.col(n) > 0).select(key, n, F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    begin = F.col("k") * stride
+    rows = lengths.where(F.col(n) > 0).select(key, n, F.explode(F.sequence(F.lit(0), last)).alias("__k"))
+    begin = F.col("__k") * stride
     end = F.least(begin + window, F.col(n))
-    before = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.least(begin - stride + window, F.col(n)))
+    before = F.when(F.col("__k") == 0, F.lit(0)).otherwise(F.least(begin - stride + window, F.col(n)))
     return rows.select(key, begin.cast("long").alias("begin"), end.cast("long").alias("end"), (end - before).cast("long").alias("scored"))
 
 
@@ -78,10 +78,10 @@ def end_aligned_plan(lengths: DataFrame, key: str, n: str, window: int, stride:
     """(key, begin, end, scored): ends at window, window + stride, ... and n; a window reaches back from its end as far as
     it can, so the last one is full. scored counts its tokens at start or later that no earlier window reached."""
     last = F.greatest(F.lit(0), F.ceil((F.col(n) - window) / F.lit(float(stride))).cast("int"))
-    rows = lengths.where(F.col(n) > 0).select(key, n, F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    end = F.least(F.col("k") * stride + window, F.col(n))
+    rows = lengths.where(F.col(n) > 0).select(key, n, F.explode(F.sequence(F.lit(0), last)).alias("__k"))
+    end = F.least(F.col("__k") * stride + window, F.col(n))
     begin = F.greatest(F.lit(0), end - window)
-    before = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.least((F.col("k") - 1) * stride + window, F.col(n)))
+    before = F.when(F.col("__k") == 0, F.lit(0)).otherwise(F.least((F.col("__k") - 1) * stride + window, F.col(n)))
     first = F.greatest(before, begin, F.lit(start))
     return rows.select(key, begin.cast("long").alias("begin"), end.cast("long").alias("end"), F.greatest(end - first, F.lit(0)).cast("long").alias("scored"))
 
@@ -89,14 +89,15 @@ def end_aligned_plan(lengths: DataFrame, key: str, n: str, window: int, stride:
 def range_plan(lengths: DataFrame, key: str, n: str, window: int, stride: int, start: int = 1) -> DataFrame:
     """(key, begin, end, first, last): tokens from start (1 at least) are scored stride at a time, each time in a window
     that ends with them and reaches back up to window tokens; sequences of at most window tokens are one window. The
-    tokens are those of the window's predictions [first, last), the prediction at place j being of token begin + 1 + j."""
+    tokens are those of the window's predictions [first, last), the prediction at place j being of token begin + 1 + j. A
+    stride of window or more leaves tokens out that no window predicts."""
     start = max(start, 1)
-    rows = lengths.where(F.col(n) > start).select(key, n, F.explode(F.sequence(F.lit(start), F.col(n) - 1, F.lit(stride))).alias("cut"))
+    rows = lengths.where(F.col(n) > start).select(key, n, F.explode(F.sequence(F.lit(start), F.col(n) - 1, F.lit(stride))).alias("__cut"))
     short = F.col(n) <= window
-    rows = rows.where(~short | (F.col("cut") == start))
-    end = F.when(short, F.col(n)).otherwise(F.least(F.col("cut") + stride, F.col(n)))
-    rows = rows.select(key, "cut", end.cast("long").alias("end"), F.greatest(F.lit(0), end - window).cast("long").alias("begin"))
-    first = F.greatest(F.col("cut") - F.col("begin") - 1, F.lit(0)).cast("long")
+    rows = rows.where(~short | (F.col("__cut") == start))
+    end = F.when(short, F.col(n)).otherwise(F.least(F.col("__cut") + stride, F.col(n)))
+    rows = rows.select(key, "__cut", end.cast("long").alias("end"), F.greatest(F.lit(0), end - window).cast("long").alias("begin"))
+    first = F.greatest(F.col("__cut") - F.col("begin") - 1, F.lit(0)).cast("long")
     return rows.select(key, "begin", "end", first.alias("first"), (F.col("end") - F.col("begin") - 1).alias("last")).where("first < last")
 
 
