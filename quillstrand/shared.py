@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths handed out inside each settled() that is running, the innermost last.
+_SCOPES: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; where it is unset on one machine (tests) a temporary folder is set. On a
@@ -21,7 +25,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() returns, as a table of its own; all other tables in the shared folder that make() or the plan it returned
+    wrote on the way are deleted then, after a failure too. For results that are small beside what they are made from."""
+    _SCOPES.append([])
+    try:
+        df = make()
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for used in _SCOPES.pop():
+            _delete(spark, used)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -37,9 +67,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the table that stash() wrote for df; only for tables that no later plan reads."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.stashed_at)
 
 
 def free_name(name: str, *frames: DataFrame) -> str:
