@@ -108,7 +108,7 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make() -> DataFrame:
         path = new_path(spark, "archive")
         warc.write_archive(warc.records(table, "page_id", "url", "html", segment_bytes=SEGMENT_BYTES), path)
-        return warc.payloads(warc.read_records(spark, path)).drop("payload")
+        return warc.payloads(warc.read_records(spark, path), keep_payload=False)
 
     out = settled(spark, make, "pages")
     key = lambda c: F.col(c).cast("long")

@@ -15,10 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstrand.shared import stash
+
 #: What every record begins with, but for the minor version.
 MARK = b"WARC/1."
 #: Bytes of records that a reading task hands on at a time.
 BATCH_BYTES = 16 << 20
+#: Rows of hash, key and URL, some 200 bytes each, that are broadcast at most.
+BROADCAST = 100_000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -27,14 +31,17 @@ FIELDS = "kind string, record_id string, key string, url string, digest string,
 
 def payload_digest(payload: Column) -> Column:
     """SHA-1 of a binary in upper-case base 32: five hexadecimal digits make four letters."""
-    digits = F.sha1(payload)
 
-    def four(i: Column) -> Column:
-        v = F.conv(F.substring(digits, 5 * i + 1, F.lit(5)), 16, 10).cast("int")
-        letter = lambda shift: F.substring(F.lit(BASE32), F.shiftright(v, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1))
-        return F.concat(*[letter(s) for s in (15, 10, 5, 0)])
+    def letters(digits: Column) -> Column:
+        def four(i: Column) -> Column:
+            v = F.conv(F.substring(digits, 5 * i + 1, F.lit(5)), 16, 10).cast("int")
+            letter = lambda shift: F.substring(F.lit(BASE32), F.shiftright(v, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1))
+            return F.concat(*[letter(s) for s in (15, 10, 5, 0)])
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), four), "")
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), four), "")
+    # As a lambda's variable the hash is worked out once, and not for each letter.
+    return F.when(payload.isNotNull(), F.transform(F.array(F.sha1(payload)), letters)[0])
 
 
 def _slices(data: Column, width: int) -> Column:
@@ -67,15 +74,16 @@ def records(pages: DataFrame, key_col: str, url_col: str, payload_col: str, leas
     payload for which no row has a key, and smaller ones, are responses each. Null payloads are empty ones. Rows that
     share key and payload are records of their own. Extra columns are ignored; an empty table has no records.
 
-    Payloads are equal when their SHA-256 is; the smallest keys are summed up in the map tasks, and the join back to the
-    payloads hashes the small side, so a payload of a third of all rows is an ordinary skew join.
+    Payloads are equal when their SHA-256 is; the smallest keys are summed up in the map tasks. Payloads that occur twice or
+    more are broadcast if they are BROADCAST rows at most, so that no payload is shuffled; else payloads are shuffled to
+    them and the small side is hashed, where a payload of a third of all rows is an ordinary skew join.
     """
     rows = pages.select(F.col(key_col).alias("key"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha2("payload", 256)))
     large = F.octet_length("payload") >= least_bytes
     first = F.min(F.when(F.col("key").isNotNull(), F.struct("key", "url"))).alias("first")
-    firsts = rows.where(large).groupBy("sha").agg(first).where("first is not null")
-    rows = rows.join(firsts.hint("shuffle_hash"), "sha", "left")
+    firsts = stash(rows.where(large).groupBy("sha").agg(F.count("*").alias("copies"), first).where("copies > 1 and first is not null").drop("copies"), "first-keys")
+    rows = rows.join(F.broadcast(firsts) if firsts.count() <= BROADCAST else firsts.hint("shuffle_hash"), "sha", "left")
     again = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first.key"))
     head = F.lit(HTTP)
     block = F.when(F.col("again"), head).otherwise(F.concat(head, chunked(F.col("payload"), chunk_bytes))).cast("binary")
@@ -247,11 +255,12 @@ def _bodies(blocks: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None, None) if b is None else body(b) for b in blocks], columns=["payload", "fault"], dtype=object)
 
 
-def payloads(found: DataFrame) -> DataFrame:
-    """(key, url, record_type, payload, payload_bytes, payload_digest, refers_to, problem) of the records' pages.
+def payloads(found: DataFrame, keep_payload: bool = True) -> DataFrame:
+    """(key, url, record_type, payload, payload_bytes, payload_digest, refers_to, problem) of the records' pages, without
+    payload if it isn't kept.
 
-    Keys are text. A revisit's payload is null; its length comes from the response of the key and digest that it names.
-    problem is null for sound pages, else what was found first: a record's or segment's fault, "no header", "framing",
+    Keys are text. A revisit's payload is null; its length comes from the response of the key and digest that it names,
+    for which the pages are written as a table once. problem is null for sound pages, else what was found first: a record's or segment's fault, "no header", "framing",
     "digest" (not that of the payload) or "no original".
     """
     whole = reassembled(found)
@@ -259,8 +268,10 @@ def payloads(found: DataFrame) -> DataFrame:
     own = own.select("key", "url", "digest", F.col("b.payload").alias("payload"), F.coalesce("problem", "b.fault").alias("problem"))
     own = own.withColumn("made", payload_digest(F.col("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     wrong = F.when(F.col("digest") != F.col("made"), "digest")
-    responses = own.select("key", "url", F.lit("response").alias("record_type"), "payload", "payload_bytes", F.col("made").alias("payload_digest"), F.lit(None).cast("string").alias("refers_to"), F.coalesce("problem", wrong).alias("problem"))
+    own = stash(own if keep_payload else own.drop("payload"), "payloads")
+    payload, none = (["payload"], [F.lit(None).cast("binary").alias("payload")]) if keep_payload else ([], [])
+    responses = own.select("key", "url", F.lit("response").alias("record_type"), *payload, "payload_bytes", F.col("made").alias("payload_digest"), F.lit(None).cast("string").alias("refers_to"), F.coalesce("problem", wrong).alias("problem"))
     stored = own.where("made is not null and key is not null").groupBy(F.col("key").alias("refers_to"), F.col("made").alias("digest")).agg(F.max("payload_bytes").alias("payload_bytes"))
     again = whole.where("kind = 'revisit'").join(stored, ["refers_to", "digest"], "left")
     lost = F.when(F.col("payload_bytes").isNull(), "no original")
-    return responses.union(again.select("key", "url", "kind", F.lit(None).cast("binary"), "payload_bytes", "digest", "refers_to", F.coalesce("problem", lost)))
+    return responses.union(again.select("key", "url", "kind", *none, "payload_bytes", "digest", "refers_to", F.coalesce("problem", lost)))
