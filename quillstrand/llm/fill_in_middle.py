@@ -63,7 +63,8 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     requests = cut.select("key", F.explode(asked).alias("r")).select("key", "r.end", "r.units").where("units > 0").distinct()
 
     width = RUN if single else 1
-    pattern = f"(?s).{{1,{RUN}}}" if single else f"(?s:.*?)(?:{unit})"
+    # \G: only where the match before ended, so what follows the last unit is searched once and not from each of its places.
+    pattern = f"(?s).{{1,{RUN}}}" if single else rf"\G(?s:.*?)(?:{unit})"
     runs = cut.select("key", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("run", "match"))
     runs = runs.groupBy("key", "run").agg(F.max(F.length("match")).alias("chars"))
     before = Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
