@@ -593,6 +593,30 @@ def early_stop_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.early_stop(e, "run", "event_id", "value", 0.5, 5)
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id % 3 AS run, event_id AS e, CASE WHEN event_id % 7 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 11 <> 0 THEN value END AS m FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY e) AS k FROM e),
+f AS (SELECT run, 0::BIGINT AS k, -1.0::DOUBLE AS best, -1::BIGINT AS seen_at, 0 AS bad, -1::BIGINT AS stop FROM (SELECT DISTINCT run FROM e) UNION ALL
+SELECT run, k, CASE WHEN up THEN m ELSE best END, CASE WHEN up THEN e ELSE seen_at END, CASE WHEN up THEN 0 ELSE bad + 1 END, CASE WHEN NOT up AND bad + 1 >= 1000 THEN e ELSE -1 END
+FROM (SELECT f.run, k.k, k.e, k.m, best, seen_at, bad, coalesce(NOT isnan(k.m) AND k.m > best + 0.5, false) AS up FROM f JOIN k ON k.run = f.run AND k.k = f.k + 1 WHERE f.stop < 0)),
+l AS (SELECT run, max(k) AS k FROM f GROUP BY run) SELECT run, best, seen_at AS best_epoch, nullif(stop, -1) AS stopped FROM f JOIN l USING (run, k)""")
+def early_stop_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three long runs, a seventh of whose metrics are NaN and an eleventh null."""
+    m = F.when(F.col("event_id") % 7 == 0, scores.nan()).when(F.col("event_id") % 11 != 0, F.col("value"))
+    e = _table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("run"), "event_id", m.alias("m"))
+    return metrics.early_stop(e, "run", "event_id", "m", 0.5, 1000)
+
+
+@query("""WITH b AS (SELECT CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, round(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))), 2) AS score FROM embeddings),
+k AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r FROM b),
+t AS (SELECT score, sum(y) AS p, count(*) AS n FROM b GROUP BY score), c AS (SELECT p, sum(p) OVER w AS tp, sum(n) OVER w AS a FROM t WINDOW w AS (ORDER BY score DESC))
+SELECT (SELECT round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * (count(*) - sum(y))), 6) FROM k) AS auroc, (SELECT round(sum(p * tp / a) / sum(p), 6) FROM c) AS auprc""")
+def binary_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of a binary task with many ties: scores rounded to two places."""
+    score = F.round(scores.sigmoid(F.col("embedding")[0].cast("double")), 2)
+    out = metrics.binary_ranking(_table(spark, sf_dir, "embeddings").select((F.col("label") >= 5).alias("label"), score.alias("score")))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("auroc", "auprc")])
+
+
 @query()
 def lr_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "embeddings")

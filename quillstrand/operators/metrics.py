@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillstrand.functions import scores
 from quillstrand.functions.sequence import auto_k, effective_length, kmers
+from quillstrand.operators.ranges import before_row
+from quillstrand.shared import settled
 
 
 def five_numbers(x: Column, places: int | None = None, prefix: str = "") -> list[Column]:
@@ -100,31 +106,49 @@ def one_vs_rest(df: DataFrame, logits: str, label: str = "label") -> DataFrame:
 
 
 def _steps(ovr: DataFrame) -> DataFrame:
-    """Per class and different score: positives and rows with it, and how many stand at or above it."""
+    """Per class and different score: positives and rows with it, and how many stand at or above it. Running sums go over
+    ranges of (class, score), so a class of any size is spread over tasks; a score's rows are summed up first."""
     ties = ovr.groupBy("class", "score").agg(F.sum("positive").alias("p"), F.count("*").alias("n"))
-    down = Window.partitionBy("class").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return ties.select("class", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("at"))
+    above = before_row(ties, "class", [F.col("score").desc()], {"tp": ("sum", F.col("p")), "at": ("sum", F.col("n"))})
+    return above.select("class", "p", "n", (F.col("tp") + F.col("p")).alias("tp"), (F.col("at") + F.col("n")).alias("at"))
+
+
+def _areas(steps: DataFrame) -> DataFrame:
+    """(class, auroc, auprc) in one aggregation over the steps."""
+    s = steps.withColumn("fp", F.col("at") - F.col("tp")).withColumn("neg", F.col("n") - F.col("p"))
+    won = F.sum(F.col("neg") * (F.col("tp") - F.col("p") + F.col("p") / 2))
+    roc = F.when((F.sum("p") > 0) & (F.sum("neg") > 0), won / (F.sum("p") * F.sum("neg")))
+    precision = F.sum(F.col("p") * F.col("tp") / F.col("at")) / F.nullif(F.sum("p"), F.lit(0))
+    return s.groupBy("class").agg(roc.alias("auroc"), F.coalesce(precision, F.lit(0.0)).alias("auprc"))
+
+
+def _ranked(ovr: DataFrame) -> DataFrame:
+    """_areas(), worked out: a row a class is kept, the ranges' tables are deleted."""
+    return settled(ovr.sparkSession, lambda: _areas(_steps(ovr)), "areas")
 
 
 def auroc(ovr: DataFrame) -> DataFrame:
     """(class, auroc): the share of positive and negative pairs in order, ties counting half."""
-    s = _steps(ovr).withColumn("fp", F.col("at") - F.col("tp")).withColumn("neg", F.col("n") - F.col("p"))
-    won = F.sum(F.col("neg") * (F.col("tp") - F.col("p") + F.col("p") / 2))
-    return s.groupBy("class").agg(F.when((F.sum("p") > 0) & (F.sum("neg") > 0), won / (F.sum("p") * F.sum("neg"))).alias("auroc"))
+    return _ranked(ovr).select("class", "auroc")
 
 
 def auprc(ovr: DataFrame) -> DataFrame:
     """(class, auprc): average precision; 0 for a class without positives."""
-    s = _steps(ovr)
-    return s.groupBy("class").agg(F.coalesce(F.sum(F.col("p") * F.col("tp") / F.col("at")) / F.nullif(F.sum("p"), F.lit(0)), F.lit(0.0)).alias("auprc"))
+    return _ranked(ovr).select("class", "auprc")
 
 
 def ranking(ovr: DataFrame) -> DataFrame:
     """One row: auc_macro_ovr, null if a class has only positives or only negatives (it is left out then), and
     auprc_macro, where a class without positives counts 0."""
-    per_class = auroc(ovr).join(auprc(ovr), "class")
     whole = F.when(F.count("*") == F.count("auroc"), F.avg("auroc"))
-    return per_class.agg(whole.alias("auc_macro_ovr"), F.avg("auprc").alias("auprc_macro"))
+    return _ranked(ovr).agg(whole.alias("auc_macro_ovr"), F.avg("auprc").alias("auprc_macro"))
+
+
+def binary_ranking(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """One row of auroc and auprc (average precision) of a boolean label by a score. Rows without label or score don't count.
+    auroc is null where one of the two labels is missing; auprc is 0 without positives, null without rows."""
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(F.lit(0).alias("class"), F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("positive"))
+    return _ranked(rows).agg(F.first("auroc").alias("auroc"), F.first("auprc").alias("auprc"))
 
 
 def kmer_spectrum(df: DataFrame, key: str, text: str, k: Column) -> DataFrame:
@@ -159,19 +183,62 @@ def spectrum_distances(p: DataFrame, q: DataFrame, key: str) -> DataFrame:
     return cells.groupBy(key).agg(F.max("gap").alias("kmer_ks"), F.sum("part").alias("kmer_jsd"), F.sum(F.col("gap") * F.col("width")).alias("kmer_emd"))
 
 
+def _stop_fold(min_delta: float, patience: int, kind: pa.DataType):
+    schema = pa.schema([("run", kind), ("best", pa.float64()), ("best_epoch", pa.int64()), ("last", pa.int64()), ("stop", pa.int64())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by run and place; what a run hands on is its best metric, that one's epoch and place, and where it stopped."""
+        run, best, epoch, last, stop, begun = None, -1.0, -1, -1, None, False
+        for batch in batches:
+            done = []
+            for r, i, e, m in zip(*[c.to_pylist() for c in batch.columns]):
+                if not begun or r != run:
+                    if begun:
+                        done.append((run, best, epoch, last, stop))
+                    run, best, epoch, last, stop, begun = r, -1.0, -1, -1, None, True
+                if stop is None and i - last > patience:
+                    stop = last + patience
+                if stop is None and m > best + min_delta:
+                    best, epoch, last = m, e, i
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((run, best, epoch, last, stop), schema)], schema=schema)
+
+    return fold
+
+
 def early_stop(epochs: DataFrame, run: str, order: str, metric: str, min_delta: float = 0.0, patience: int = 30) -> DataFrame:
-    """(run, best, best_epoch, stopped): a fold over each run's epochs in order; best begins at -1."""
-    log = epochs.groupBy(run).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("e"), F.col(metric).cast("double").alias("m")))).alias("log"))
-    start = F.struct(F.lit(-1.0).alias("best"), F.lit(-1).cast("long").alias("at"), F.lit(0).alias("bad"), F.lit(-1).cast("long").alias("stop"))
-
-    def step(s: Column, x: Column) -> Column:
-        better = x["m"] > s["best"] + min_delta
-        stop = F.when((s["bad"] + 1 >= patience) & ~better, x["e"].cast("long")).otherwise(s["stop"])
-        new = F.struct(F.when(better, x["m"]).otherwise(s["best"]).alias("best"), F.when(better, x["e"].cast("long")).otherwise(s["at"]).alias("at"), F.when(better, 0).otherwise(s["bad"] + 1).alias("bad"), stop.alias("stop"))
-        return F.when(s["stop"] >= 0, s).otherwise(new)
-
-    out = log.select(run, F.aggregate("log", start, step).alias("s"))
-    return out.select(run, F.col("s.best").alias("best"), F.col("s.at").alias("best_epoch"), F.nullif(F.col("s.stop"), F.lit(-1).cast("long")).alias("stopped"))
+    """(run, best, best_epoch, stopped) of each run's epochs in order: best begins at -1 and rises to a metric over best +
+    min_delta; after patience epochs without such a rise the run stops. NaN and null never raise it, but do count as
+    epochs. Without a rise best_epoch is -1; stopped is null for runs that go on to their end. Epochs that come twice
+    are taken by metric. A patience below 1 is 1; min_delta must not be negative.
+
+    Only a metric over all before it in its run can raise the best. These are found by running maxima over ranges of
+    (run, epoch), so no task holds a run; the fold then goes over them alone, in order, and keeps a state of five
+    values, however long the run is. The result has a row a run.
+    """
+    if min_delta < 0:
+        raise ValueError("min_delta must not be negative")
+    return settled(epochs.sparkSession, lambda: _stops(epochs, run, order, metric, min_delta, max(1, patience)), "early-stops")
+
+
+def _stops(epochs: DataFrame, run: str, order: str, metric: str, min_delta: float, patience: int) -> DataFrame:
+    m = F.col(metric).cast("double")
+    rows = epochs.select(F.col(run).alias("run"), F.col(order).alias("e"), F.when(~F.isnan(m), m).alias("m"))
+    placed = before_row(rows, "run", [F.col("e"), F.col("m")], {"i": ("sum", F.lit(1).cast("long")), "top": ("max", F.col("m"))})
+    rises = placed.where((F.col("m") > min_delta - 1) & (F.col("top").isNull() | (F.col("m") > F.col("top"))))
+    kind = rises.schema["run"].dataType
+    ordered = rises.select("run", "i", F.col("e").cast("long").alias("e"), "m").repartition("run").sortWithinPartitions("run", "i")
+    folded = ordered.mapInArrow(_stop_fold(min_delta, patience, to_arrow_type(kind)), f"run {kind.simpleString()}, best double, best_epoch long, last long, stop long")
+    sizes = rows.groupBy(F.col("run").alias("r")).agg(F.count("*").alias("size"))
+    met = sizes.join(folded, F.col("r").eqNullSafe(F.col("run")), "left")
+    last = F.coalesce("last", F.lit(-1))
+    stop = F.coalesce("stop", F.when(F.col("size") - 1 - last >= patience, last + patience))
+    ends = met.select("r", F.coalesce("best", F.lit(-1.0)).alias("best"), F.coalesce("best_epoch", F.lit(-1)).cast("long").alias("best_epoch"), stop.alias("stop"))
+    at = placed.select(F.col("run").alias("own"), "i", F.col("e").cast("long").alias("stopped"))
+    out = ends.join(at, F.col("r").eqNullSafe(F.col("own")) & (F.col("stop") == F.col("i")), "left")
+    return out.select(F.col("r").alias(run), "best", "best_epoch", "stopped")
 
 
 #: Short names of metrics.
