@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstrand.functions import scores
+from quillstrand.functions import records, scores, spectra
 from quillstrand.functions import sequence as sq
 from quillstrand.operators import metrics, relations
 from quillstrand.plans import completion, heads, likelihood
@@ -429,8 +429,8 @@ dist AS (SELECT doc_id, max(gap) AS kmer_ks, sum(0.5 * (a * log2(a / m) + b * lo
 @query(f"WITH {D_DIST} SELECT doc_id, CAST(kk AS INTEGER) AS kmer_k, round(kmer_ks, 6) AS kmer_ks, round(kmer_jsd, 6) AS kmer_jsd, round(kmer_emd, 6) AS kmer_emd FROM ek JOIN dist USING (doc_id)")
 def kmer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pairs(spark, sf_dir).where("t <> '' and m <> ''").withColumn("k", metrics.pair_k(F.col("t"), F.col("m")))
-    d = metrics.spectrum_distances(metrics.kmer_spectrum(p, "doc_id", "t", F.col("k")), metrics.kmer_spectrum(p, "doc_id", "m", F.col("k")), "doc_id")
-    return p.select("doc_id", F.col("k").alias("kmer_k")).join(d, "doc_id").select("doc_id", "kmer_k", *[F.round(c, 6).alias(c) for c in ("kmer_ks", "kmer_jsd", "kmer_emd")])
+    d = spectra.spectrum_distances(F.col("t"), F.col("m"), F.col("k"))
+    return p.select("doc_id", F.col("k").alias("kmer_k"), d.alias("d")).select("doc_id", "kmer_k", *[F.round(F.col("d")[c], 6).alias(c) for c in ("kmer_ks", "kmer_jsd", "kmer_emd")])
 
 
 def _cds_oracle(x: str) -> str:
@@ -741,6 +741,17 @@ def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.with_errors(e, {"too large": F.col("bpb") > 400, "no tokens": F.col("event_id") % 11 == 0}, ["bpb"])
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{"user":' || user_id || ',"note":"n' || event_id % 5 || '"}' WHEN event_id % 3 = 1 THEN '{"user":"u' || user_id || '","last":null}' ELSE '{"ok":true}' END AS kept FROM events""")
+def scalar_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown scalar keys of records whose keys differ in kind and number from row to row."""
+    k, user = F.col("event_id") % 3, F.col("user_id").cast("string")
+    note = F.concat(F.lit('{"bpb": 1.5, "user": '), user, F.lit(', "inner": {"a": [1]}, "note": "n'), (F.col("event_id") % 5).cast("string"), F.lit('"}'))
+    named = F.concat(F.lit('{"user": "u'), user, F.lit('", "bpb": NaN, "last": null, "list": [1, 2]}'))
+    text = F.when(k == 0, note).when(k == 1, named).otherwise(F.lit('{"ok": true, "bpb": null}'))
+    kept = F.to_json(records.scalars(records.record(F.col("text")), ["bpb"]))
+    return _table(spark, sf_dir, "events").select("event_id", text.alias("text")).select("event_id", kept.alias("kept"))
+
+
 @query("SELECT event_type, round(sum(value * (event_id % 64)) / sum(event_id % 64), 6) AS loss FROM events GROUP BY event_type")
 def average_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     loss = metrics.average_loss(F.col("value"), F.col("event_id") % 64)

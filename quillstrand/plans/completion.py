@@ -5,24 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrand.functions import scores
+from quillstrand.functions import scores, spectra
 from quillstrand.functions.sequence import is_coding_region
 from quillstrand.operators import metrics
+from quillstrand.shared import free_name
+
+#: The metrics of a row, in order.
+METRICS = ("edit_distance", "exact_match_acc", "kmer_jsd", "kmer_ks", "is_cds")
+
+
+def with_metrics(df: DataFrame, truth: str = "ground_truth", made: str = "generated") -> DataFrame:
+    """df with METRICS in place of such columns it holds, worked out inside each row. The continuation is cut to the truth's
+    length, except for is_cds. Missing texts give NaN; two empty ones match; one empty one gives NaN and 0."""
+    t, whole, cut = F.col(truth), F.col(made), free_name("cut", df)
+    df = df.withColumn(cut, F.substring(whole, F.lit(1), F.length(t)))
+    m = F.col(cut)
+    full = (F.coalesce(F.length(t), F.lit(0)) > 0) & (F.coalesce(F.length(m), F.lit(0)) > 0)
+    # Rows without both texts give the functions nulls, which they pass by.
+    a, b = F.when(full, t), F.when(full, m)
+    gaps = free_name("gaps", df)
+    df = df.withColumn(gaps, spectra.spectrum_distances(a, b, metrics.pair_k(a, b)))
+    missing = t.isNull() | whole.isNull()
+    exact = F.when(missing, scores.nan()).when(full, scores.exact_match(t, m)).when((t == "") & (whole == ""), F.lit(1.0)).otherwise(F.lit(0.0))
+    found = {
+        "edit_distance": F.when(full, scores.edit_distance(a, b)).otherwise(scores.nan()),
+        "exact_match_acc": exact,
+        "kmer_jsd": F.coalesce(F.col(gaps)["kmer_jsd"], scores.nan()),
+        "kmer_ks": F.coalesce(F.col(gaps)["kmer_ks"], scores.nan()),
+        "is_cds": F.when(missing, F.lit(False)).otherwise(is_coding_region(whole)),
+    }
+    return df.withColumns(found).drop(cut, gaps)
 
 
 def row_metrics(df: DataFrame, key: str, truth: str = "ground_truth", made: str = "generated") -> DataFrame:
-    """(key, edit_distance, exact_match_acc, kmer_jsd, kmer_ks, is_cds). The continuation is cut to the truth's length,
-    except for is_cds. Missing texts give NaN; two empty ones match; one empty one gives NaN and 0."""
-    rows = df.select(key, F.col(truth).alias("t"), F.col(made).alias("whole"), F.substring(F.col(made), F.lit(1), F.length(truth)).alias("m"))
-    full = (F.coalesce(F.length("t"), F.lit(0)) > 0) & (F.coalesce(F.length("m"), F.lit(0)) > 0)
-    pairs = rows.where(full).withColumn("k", metrics.pair_k(F.col("t"), F.col("m")))
-    distances = metrics.spectrum_distances(metrics.kmer_spectrum(pairs, key, "t", F.col("k")), metrics.kmer_spectrum(pairs, key, "m", F.col("k")), key)
-    missing = F.col("t").isNull() | F.col("whole").isNull()
-    exact = F.when(missing, scores.nan()).when(full, scores.exact_match(F.col("t"), F.col("m"))).when((F.col("t") == "") & (F.col("whole") == ""), F.lit(1.0)).otherwise(F.lit(0.0))
-    edit = F.when(full, scores.edit_distance(F.col("t"), F.col("m"))).otherwise(scores.nan())
-    cds = F.when(missing, F.lit(False)).otherwise(is_coding_region(F.col("whole")))
-    own = rows.select(key, edit.alias("edit_distance"), exact.alias("exact_match_acc"), cds.alias("is_cds"))
-    return own.join(distances, key, "left").select(key, "edit_distance", "exact_match_acc", F.coalesce("kmer_jsd", scores.nan()).alias("kmer_jsd"), F.coalesce("kmer_ks", scores.nan()).alias("kmer_ks"), "is_cds")
+    """(key, METRICS) of each row."""
+    return with_metrics(df.select(key, truth, made), truth, made).select(key, *METRICS)
 
 
 def summary(df: DataFrame) -> DataFrame:

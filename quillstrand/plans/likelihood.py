@@ -113,12 +113,14 @@ def rewritten_count(changed: Column, chars: Column, char_count: Column) -> Colum
     return F.when(changed, past).otherwise(char_count)
 
 
-def perplexity(avg_nll: Column) -> Column:
-    return scores.safe_exp(avg_nll)
-
-
 def model_report(df: DataFrame, model: str, bucket: str, value: str, buckets: list[str]) -> DataFrame:
     """A row a model; per bucket min, max, median, mean to four places, missing ones empty."""
     own = lambda b: F.when(scores.is_finite(F.col(value)) & (F.col(bucket) == b), F.col(value))
     stats = {"min": F.min, "max": F.max, "median": lambda x: F.percentile(x, F.lit(0.5)), "mean": F.avg}
     return df.groupBy(model).agg(*[F.coalesce(scores.four_places(f(own(b))), F.lit("")).alias(f"{b}_{n}") for b in buckets for n, f in stats.items()])
+
+
+def report_table(stats: DataFrame, buckets: list[str]) -> DataFrame:
+    """The same report from (bucket, model, min, max, median, mean), a row for each model in a bucket."""
+    own = lambda b, n: F.max(F.when(F.col("bucket") == b, F.col(n)))
+    return stats.groupBy("model").agg(*[F.coalesce(scores.four_places(own(b, n)), F.lit("")).alias(f"{b}_{n}") for b in buckets for n in ("min", "max", "median", "mean")])

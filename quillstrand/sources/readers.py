@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstrand.operators import relations
@@ -74,19 +76,28 @@ def read_shards(spark: SparkSession, folder: str, numbers: range = range(1, 11))
     return read_bucket(spark, [f"{folder}/short_sequences-{i}.jsonl" for i in numbers])
 
 
-def read_results(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """All result files below root that hold per-sample rows, with source_file; outputs of an earlier run are left out."""
-    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").json(root)
-    name = F.col("_metadata.file_name")
+def is_result(name: Column) -> Column:
+    """Names of files of per-sample rows; outputs of an earlier run are none."""
     wanted = (name.contains("gen") & name.contains("per_sample")) | name.contains("all_gen")
-    return rows.select("*", F.col("_metadata.file_path").alias("source_file")).where(wanted & ~name.endswith("_metrics.jsonl"))
+    return wanted & ~name.endswith("_metrics.jsonl")
+
 
+def read_lines(spark: SparkSession, path: str | list[str], wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(value, source_file, start, row): the lines of files, or of all JSON lines below a folder whose name is wanted. start
+    and row put a file's lines in order."""
+    lines = spark.read
+    single = isinstance(path, list) or path.endswith(".jsonl")
+    if not single:
+        lines = lines.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
+    m = F.col("_metadata")
+    found = lines.text(path).select("value", m["file_path"].alias("source_file"), m["file_block_start"].alias("start"), m["file_name"].alias("name"), F.monotonically_increasing_id().alias("row"))
+    return (found if single or wanted is None else found.where(wanted(F.col("name")))).drop("name")
 
-def read_model_results(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """root/<bucket>/<model>/all_bpb_per_sample.jsonl with bucket and model; hidden buckets are left out."""
-    rows = spark.read.schema(schema).json(f"{root}/*/*/all_bpb_per_sample.jsonl")
-    parts = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/([^/]+)/[^/]+$", 1), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/([^/]+)/[^/]+$", 2)
-    return rows.select("*", parts[0].alias("bucket"), parts[1].alias("model")).where(~F.col("bucket").startswith("."))
+
+def read_results(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """All result files below root that hold per-sample rows, with source_file."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").json(root)
+    return rows.select("*", F.col("_metadata.file_path").alias("source_file")).where(is_result(F.col("_metadata.file_name")))
 
 
 def attach_sequences(spark: SparkSession, metadata: DataFrame, split_dir: str, split: str) -> DataFrame:

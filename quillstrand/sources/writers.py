@@ -10,10 +10,6 @@ def write_rows(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", False).json(path)
 
 
-def write_rows_by_source(df: DataFrame, path: str, source: str = "source_file") -> None:
-    df.write.partitionBy(source).option("ignoreNullFields", False).json(path)
-
-
 def write_summary(one_row: DataFrame, path: str) -> None:
     """A JSON object of a one-row aggregate."""
     one_row.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).coalesce(1).write.text(path)
@@ -32,12 +28,6 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
-def rewrite_lines(lines: DataFrame, schema: str, change, path: str) -> None:
-    """lines: value. Lines that parse are rewritten by change(struct column), others and blank ones pass as they are."""
-    parsed = F.from_json("value", schema)
-    lines.select(F.coalesce(F.when(parsed.isNotNull() & (F.trim("value") != ""), F.to_json(change(parsed))), F.col("value")).alias("value")).write.text(path)
-
-
 def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
     """One JSON object of label to id, in the order of ids; a vocabulary has a row a class."""
     pairs = F.sort_array(F.collect_list(F.struct("label_id", "label")))

@@ -71,53 +71,99 @@ def test_vocabulary_and_logs(spark, tmp_path):
     assert json.loads("\n".join(lines(tmp_path / "s"))) == {"model": "m", "seconds": 1.0}
 
 
-def test_completion_command(spark, tmp_path):
-    rows = [
-        {"id": 1, "prompt": "AC", "ground_truth": "GTAA", "generated_sequence": "ACGTAACC"},
-        {"id": 2, "prompt": "AC", "ground_truth": "GTAA", "generated_full": "ACGTTT"},
+def completions():
+    return [
+        {"id": 1, "prompt": "AC", "ground_truth": "GTAA", "generated_sequence": "ACGTAACC", "inner": {"a": [1, None]}, "edit_distance": "old"},
+        {"id": "two", "prompt": "AC", "ground_truth": "GTAA", "generated_full": "ACGTTT", "x": None},
         {"id": 3, "prompt": None, "ground_truth": None, "generated_tail": "TAA"},
-        {"id": 4, "prompt": "A", "ground_truth": "", "generated_continuation": ""},
-        {"id": 5, "prompt": "A", "ground_truth": "ACG"},
+        {"id": 4.5, "prompt": "A", "ground_truth": "", "generated_continuation": ""},
+        {"id": 5, "prompt": "A", "ground_truth": "ACG", "score": math.nan},
     ]
-    source = tmp_path / "in" / "x_gen_per_sample.jsonl"
-    source.parent.mkdir()
-    source.write_text("\n".join(map(json.dumps, rows)) + "\n\n")
-    (tmp_path / "in" / "x_gen_per_sample_metrics.jsonl").write_text('{"id": 99}\n')
-    out, summary = tmp_path / "out", tmp_path / "summary"
-    found = commands.completion_files(spark, str(source.parent), str(out), str(summary)).collect()
-    assert len(found) == 1 and found[0]["count"] == 5 and found[0]["exact_match_acc"]["max"] == 1.0
-    got = {r["id"]: r for r in spark.read.schema("id long, edit_distance double, exact_match_acc double, is_CDS boolean").json(str(out)).collect()}
-    assert set(got) == {1, 2, 3, 4, 5}
-    assert (got[1]["edit_distance"], got[1]["exact_match_acc"], got[1]["is_CDS"]) == (0.0, 1.0, False)
-    assert (got[2]["edit_distance"], got[2]["exact_match_acc"]) == (0.5, 0.5)
-    assert math.isnan(got[3]["exact_match_acc"]) and got[4]["exact_match_acc"] == 1.0 and math.isnan(got[5]["edit_distance"])
-    assert json.loads(lines(summary)[0])["is_CDS"] == {"count": 0, "ratio": 0.0}
-    single = commands.completion_files(spark, str(source), None, str(tmp_path / "summary2"), per_sample=False).collect()
-    assert single[0]["num_samples"] == 5
+
+
+def test_completion_command(spark, tmp_path):
+    folder = tmp_path / "in" / "of a model"
+    folder.mkdir(parents=True)
+    source = folder / "x_gen_per_sample.jsonl"
+    source.write_text("\n".join(map(json.dumps, completions())) + "\n\n")
+    other = tmp_path / "in" / "all_gen 2.jsonl"
+    other.write_text("".join(json.dumps({"n": k, "ground_truth": "ACGT" * (k % 5), "generated_sequence": "ACGA" * (k % 5)}) + "\n" for k in range(5000)))
+    (folder / "x_gen_per_sample_metrics.jsonl").write_text('{"id": 99}\n')
+    (folder / "empty_gen_per_sample.jsonl").write_text("\n")
+    (folder / "notes.jsonl").write_text("{}\n")
+    before = {p.name for p in (tmp_path / "in").rglob("*")}
+    found = {r["source_file"].rpartition("/")[2]: r for r in commands.completion_files(spark, str(tmp_path / "in")).collect()}
+    assert len(found) == 2 and found["x_gen_per_sample.jsonl"]["count"] == 5 and found["x_gen_per_sample.jsonl"]["exact_match_acc"]["max"] == 1.0
+    made = {p.name for p in (tmp_path / "in").rglob("*")} - before
+    assert made == {"all_gen 2_metrics.jsonl", "all_gen 2_metrics_summary.json", "x_gen_per_sample_metrics_summary.json"}
+    got = [json.loads(x) for x in (folder / "x_gen_per_sample_metrics.jsonl").read_text().splitlines()]
+    assert [r["id"] for r in got] == [1, "two", 3, 4.5, 5]
+    assert got[0]["inner"] == {"a": [1, None]} and "x" in got[1] and got[1]["x"] is None and "x" not in got[0]
+    assert (got[0]["edit_distance"], got[0]["exact_match_acc"], got[0]["is_CDS"]) == (0.0, 1.0, False)
+    assert (got[1]["edit_distance"], got[1]["exact_match_acc"]) == (0.5, 0.5)
+    assert math.isnan(got[2]["exact_match_acc"]) and got[3]["exact_match_acc"] == 1.0 and math.isnan(got[4]["edit_distance"])
+    summary = json.loads((folder / "x_gen_per_sample_metrics_summary.json").read_text())
+    assert summary["is_CDS"] == {"count": 0, "ratio": 0.0} and summary["num_samples"] == 5 and summary["source_file"].endswith("x_gen_per_sample.jsonl")
+    assert [json.loads(x)["n"] for x in (tmp_path / "in" / "all_gen 2_metrics.jsonl").read_text().splitlines()] == list(range(5000))
+    # A second run replaces them; explicit places are those of the first file.
+    commands.completion_files(spark, str(tmp_path / "in"), str(tmp_path / "rows.jsonl"), str(tmp_path / "sum.json"))
+    assert len((tmp_path / "rows.jsonl").read_text().splitlines()) == 5000 and json.loads((tmp_path / "sum.json").read_text())["count"] == 5000
+    assert {p.name for p in (tmp_path / "in").rglob("*")} == before | made
+
+
+def test_completion_of_one_file_without_rows_and_bad_lines(spark, tmp_path):
+    source = tmp_path / "any.jsonl"
+    source.write_text("\n".join(map(json.dumps, completions())))
+    single = commands.completion_files(spark, str(source), per_sample=False).collect()
+    assert single[0]["num_samples"] == 5 and {p.name for p in tmp_path.iterdir()} == {"any.jsonl", "any_metrics_summary.json"}
+    source.write_text('{"id": 1}\nbroken {\n')
+    with pytest.raises(Exception, match="not a JSON object: broken"):
+        commands.completion_files(spark, str(source))
+    assert {p.name for p in tmp_path.iterdir()} == {"any.jsonl", "any_metrics_summary.json"}
+
+
+def test_writing_beside_leaves_nothing_after_a_failure(spark, tmp_path):
+    from quillstrand.sources.beside import write_beside
+
+    (tmp_path / "a").write_text("old\n")
+    rows = spark.range(10).select(F.lit(str(tmp_path / "a")).alias("t"), "id", F.when(F.col("id") == 7, F.raise_error(F.lit("stop"))).otherwise(F.lit("x")).alias("v"))
+    with pytest.raises(Exception, match="stop"):
+        write_beside(rows, "t", ["id"], "v", str(tmp_path))
+    assert [p.name for p in tmp_path.iterdir()] == ["a"] and (tmp_path / "a").read_text() == "old\n"
 
 
 def test_bits_command(spark, tmp_path):
-    kept = {"taxid": 1, "bpb": 1.23456, "avg_nll_token": 1.0, "token_count": 900, "char_count": 872, "sequence_chars": 1000, "note": "x"}
+    kept = {"taxid": 1, "bpb": 1.23456, "avg_nll_token": 1.0, "token_count": 900, "char_count": 872, "sequence_chars": 1000, "note": "x", "inner": [1]}
     cut = kept | {"taxid": 2, "token_count": 436}
-    unknown = {"taxid": 3, "bpb": 9.0, "avg_nll_token": 1.2, "token_count": 200, "sequence_chars": 1024}
-    folder = tmp_path / "root" / "genome-short" / "m"
-    folder.mkdir(parents=True)
-    (folder / "all_bpb_per_sample.jsonl").write_text("\n".join(map(json.dumps, (kept, cut, unknown))) + "\n\nbroken {\n")
-    report = commands.bits_files(spark, str(tmp_path / "root"), str(tmp_path / "new"), str(tmp_path / "report")).collect()
-    text = lines(tmp_path / "new")
-    assert "" in text and "broken {" in text
-    got = {d["taxid"]: d for d in map(json.loads, (x for x in text if x.startswith("{")))}
-    assert got[1]["bpb"] == 1.2346 and got[1]["char_count"] == 872 and got[1]["note"] == "x"
-    assert got[2]["bpb"] == round(1 / math.log(2), 4)
-    assert got[3]["bpb"] == 1.7312 and got[3]["char_count"] == 896
-    assert report[0]["genome-short_max"] == "1.7312"
-
-
-def test_rewritten_lines(spark, tmp_path):
-    rows = spark.createDataFrame([('{"bpb": 1.5}',), ("",), ("no json",)], "value string")
-    writers.rewrite_lines(rows, "bpb double", lambda d: d.withField("bpb", d["bpb"] * 2), str(tmp_path / "o"))
-    text = lines(tmp_path / "o")
-    assert '{"bpb":3.0}' in text and "" in text
+    unknown = {"taxid": "three", "bpb": 9.0, "avg_nll_token": 1.2, "token_count": 200, "sequence_chars": 1024, "gone": None}
+    nothing = {"taxid": 4, "bpb": math.nan}
+    root = tmp_path / "root"
+    first, second = root / "genome-short" / "m", root / "genome-long" / "m"
+    for folder in (first, second, root / ".hidden" / "m"):
+        folder.mkdir(parents=True)
+        (folder / "all_bpb_per_sample.jsonl").write_text("\n".join(map(json.dumps, (kept, cut, unknown))) + "\n\nbroken {\n" + json.dumps(nothing) + "\n")
+    (first / "bpb_summary.json").write_text(json.dumps({"model": "m", "all_size": 99, "deep": {"x": [None]}}))
+    report = commands.bits_files(spark, str(root)).collect()
+    text = (first / "all_bpb_per_sample_new.jsonl").read_text().splitlines()
+    assert text[3:5] == ["", "broken {"] and not (root / ".hidden" / "m" / "all_bpb_per_sample_new.jsonl").exists()
+    got = [json.loads(x) for x in text if x.startswith("{")]
+    assert [d["taxid"] for d in got] == [1, 2, "three", 4]
+    assert got[0] == kept | {"bpb": 1.2346} and math.isnan(got[3]["bpb"]) and got[3].keys() == {"taxid", "bpb"}
+    assert got[1]["bpb"] == round(1 / math.log(2), 4)
+    assert got[2] == unknown | {"bpb": 1.7312, "char_count": 896}
+    summary = json.loads((first / "bpb_summary_new.json").read_text())
+    assert summary["model"] == "m" and summary["deep"] == {"x": [None]} and summary["all_size"] == 3 and summary["all_statistics"]["max"] == 1.7312
+    assert json.loads((second / "bpb_summary_new.json").read_text()).keys() == {"output_dir", "all_statistics", "all_size"}
+    assert report[0]["genome-short_max"] == report[0]["genome-long_max"] == "1.7312"
+    table = (root / "bpb_summary_table_new.csv").read_text().splitlines()
+    assert table[0].startswith("model_name,genome-short_min,") and table[1].startswith("m,1.2346,1.7312,")
+    # A second run takes what is there: the changed statistics of one model, none of a broken file.
+    (first / "bpb_summary_new.json").write_text(json.dumps({"all_statistics": {"min": 0.5, "max": 7, "median": None}}))
+    (second / "bpb_summary_new.json").write_text("broken")
+    (first / "all_bpb_per_sample_new.jsonl").unlink()
+    (again,) = commands.bits_files(spark, str(root)).collect()
+    assert (again["genome-short_min"], again["genome-short_max"], again["genome-short_median"], again["genome-long_max"]) == ("0.5000", "7.0000", "", "")
+    assert not (first / "all_bpb_per_sample_new.jsonl").exists()
 
 
 def test_stream(spark, tmp_path):
