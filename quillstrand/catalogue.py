@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillstrand.functions import records, scores, spectra
 from quillstrand.functions import sequence as sq
-from quillstrand.operators import metrics, relations
+from quillstrand.operators import metrics, providers, relations
 from quillstrand.plans import completion, heads, likelihood
 from quillstrand.shared import stash
 
@@ -756,3 +756,36 @@ def scalar_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
 def average_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     loss = metrics.average_loss(F.col("value"), F.col("event_id") % 64)
     return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(loss, 6).alias("loss"))
+
+
+# --- providers ----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {D_BPB} SELECT doc_id, round(avg_nll_token, 6) AS avg_nll_token, token_count, CAST(NULL AS VARCHAR) AS error FROM b WHERE token_count > 0")
+def provider_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Markov scorer as a provider that each worker sets up once."""
+    seqs = _sequences(spark, sf_dir)
+    out = providers.run(seqs.select("doc_id", "seq"), "markov", "seq", options=providers.fitted_markov(likelihood.markov_counts(seqs, "seq")))
+    return out.where("token_count > 0").select("doc_id", F.round("avg_nll_token", 6).alias("avg_nll_token"), "token_count", "error")
+
+
+@query(f"WITH {D_SEQ}, c AS (SELECT doc_id, length(regexp_replace(seq, '[^GC]', '', 'g')) AS gc, length(regexp_replace(seq, '[^ACGT]', '', 'g')) AS n FROM s) SELECT doc_id, CASE WHEN n = 0 THEN 'NaN'::DOUBLE ELSE round(gc / n, 9) END AS score FROM c")
+def provider_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return providers.run(_sequences(spark, sf_dir).select("doc_id", "seq"), "gc_share", "seq").select("doc_id", F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH {D_SEQ}, g AS (SELECT doc_id, unnest(list_transform(range(1, length(seq)), lambda i: substr(seq, i, 2))) AS w FROM s), c AS (SELECT doc_id, w, count(*) AS n FROM g WHERE regexp_full_match(w, '[ACGT]{{2}}') GROUP BY ALL),
+l AS (SELECT a || b AS w, CAST(4 * i + j AS INTEGER) AS dim FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS a, unnest([0, 1, 2, 3]) AS i), (SELECT unnest(['A', 'C', 'G', 'T']) AS b, unnest([0, 1, 2, 3]) AS j)),
+t AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY 1) SELECT s.doc_id, l.dim, round(coalesce(n / total, 0), 9) AS x FROM s CROSS JOIN l LEFT JOIN c ON c.doc_id = s.doc_id AND c.w = l.w LEFT JOIN t ON t.doc_id = s.doc_id""")
+def provider_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = providers.run(_sequences(spark, sf_dir).select("doc_id", "seq"), "kmer_profile", "seq")
+    return out.select("doc_id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.round("x", 9))
+
+
+@query(f"""WITH {D_SEQ} SELECT doc_id, CASE WHEN w = '' THEN length(seq) END AS length, CASE WHEN w <> '' OR seq = '' THEN 'NaN'::DOUBLE ELSE round(length(regexp_replace(seq, '[^A]', '', 'g')) / length(seq), 9) END AS share,
+CASE WHEN w <> '' THEN 'not in ACGT: ' || w END AS error FROM (SELECT doc_id, seq, coalesce(list_min(list_filter(string_split(seq, ''), lambda x: x NOT IN ('A', 'C', 'G', 'T', ''))), '') AS w FROM (SELECT doc_id, substr(seq, 1, doc_id % 12) AS seq FROM s))""")
+def provider_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of one, so that each row that the provider refuses fails alone."""
+    starts = _sequences(spark, sf_dir).select("doc_id", F.expr("substring(seq, 1, cast(doc_id % 12 as int))").alias("seq"))
+    out = providers.run(starts, "strict_length", "seq", batch=1)
+    return out.select("doc_id", "length", F.round("share", 9).alias("share"), "error")
