@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillstrand.functions import records, scores, spectra
 from quillstrand.functions import sequence as sq
 from quillstrand.operators import metrics, providers, relations
-from quillstrand.plans import completion, heads, likelihood
+from quillstrand.plans import completion, heads, likelihood, tasks
 from quillstrand.shared import stash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -437,9 +437,13 @@ def _cds_oracle(x: str) -> str:
     return f"(length({x}) >= 3 AND length({x}) % 3 = 0 AND right({x}, 3) IN ('TAA', 'TAG', 'TGA') AND len(list_filter(range(0, length({x}) // 3 - 1), lambda i: substr({x}, CAST(i * 3 + 1 AS BIGINT), 3) IN ('TAA', 'TAG', 'TGA'))) = 0)"
 
 
-@query(f"WITH {D_SEQ}, c AS (SELECT doc_id, regexp_extract(seq, '[ACGT]{{6,}}') AS x FROM s) SELECT doc_id, {_cds_oracle('x')} AS is_cds FROM c")
+@query(f"""WITH {D_SEQ}, c AS (SELECT doc_id, unnest(regexp_extract_all(seq, '[ACGT]{{3,}}')) AS x FROM s), n AS (SELECT doc_id, count(*) AS n_runs, count(*) FILTER (WHERE {_cds_oracle('x')}) AS n_cds FROM c GROUP BY doc_id)
+SELECT doc_id, {_cds_oracle('seq')} AS is_cds, coalesce(n_runs, 0) AS n_runs, coalesce(n_cds, 0) AS n_cds FROM s LEFT JOIN n USING (doc_id)""")
 def cds_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sequences(spark, sf_dir).select("doc_id", sq.is_coding_region(F.regexp_extract("seq", "[ACGT]{6,}", 0)).alias("is_cds"))
+    """Whether a whole text is a coding region, and how many of its runs of three and more bases are."""
+    s = _sequences(spark, sf_dir).select("doc_id", "seq", F.regexp_extract_all("seq", F.lit("[ACGT]{3,}"), F.lit(0)).alias("runs"))
+    coding = F.size(F.filter("runs", sq.is_coding_region)).cast("long")
+    return s.select("doc_id", sq.is_coding_region("seq").alias("is_cds"), F.size("runs").cast("long").alias("n_runs"), coding.alias("n_cds"))
 
 
 D_ROWS = f"""{D_DIST}, r AS (SELECT pr.doc_id, CASE WHEN length(t) > 0 AND length(m) > 0 THEN levenshtein(t, m) / CAST(length(t) AS DOUBLE) ELSE 'NaN'::DOUBLE END AS edit_distance,
@@ -562,10 +566,11 @@ def task_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.groupBy("split").agg(F.round(F.avg("v"), 6).alias("mean_metric"))
 
 
-@query("WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-12 AS n FROM e) SELECT vec_id, list_transform(v[1:4], lambda x: round(x / n, 6)) AS head FROM n".replace("list_transform(v[1:4], lambda x: round(x / n, 6)) AS head", "round(v[1] / n, 6) AS a, round(v[2] / n, 6) AS b"))
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-12 AS n FROM e)
+SELECT vec_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS dim, round(unnest(v) / n, 6) AS x FROM n""")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = scores.l2_normalised(F.col("embedding"))
-    return _table(spark, sf_dir, "embeddings").select("vec_id", u.alias("u")).select("vec_id", F.round(F.col("u")[0], 6).alias("a"), F.round(F.col("u")[1], 6).alias("b"))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(u).alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("SELECT label, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS mean_0, round(max(CAST(embedding[1] AS DOUBLE)), 6) AS max_0, round(min(CAST(embedding[1] AS DOUBLE)), 6) AS min_0, round(CAST(min_by(embedding[1], vec_id) AS DOUBLE), 6) AS cls_0, round(CAST(max_by(embedding[1], vec_id) AS DOUBLE), 6) AS final_0 FROM embeddings GROUP BY label")
@@ -789,3 +794,36 @@ def provider_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = _sequences(spark, sf_dir).select("doc_id", F.expr("substring(seq, 1, cast(doc_id % 12 as int))").alias("seq"))
     out = providers.run(starts, "strict_length", "seq", batch=1)
     return out.select("doc_id", "length", F.round("share", 9).alias("share"), "error")
+
+
+# --- several tasks ------------------------------------------------------------------------------------------------
+
+
+@query()
+def multitask_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two heads on the same vectors; a third of the rows have no label of the second task."""
+    label = F.col("label")
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.concat(F.lit("kind "), label).alias("kind"), F.when(F.col("vec_id") % 3 > 0, F.when(label >= 5, "high").otherwise("low")).alias("half"))
+    train = e.where("vec_id % 10 < 8")
+    ids = tasks.label_ids(tasks.vocabularies(train, ["kind", "half"]))
+    heads_ = tasks.fit_heads(tasks.encoded(train, ids), "embedding", ["kind", "half"], weighted=True)
+    return tasks.predictions(tasks.with_logits(tasks.encoded(e, ids), heads_, "embedding"), ids, "vec_id", [])
+
+
+@query("""WITH m AS (SELECT event_type, user_id % 9 AS epoch, user_id % 7 AS task, avg(value) FILTER (event_type <> 'view' AND user_id % 4 = 0) AS auprc, avg(value) FILTER (event_id % 5 > 0) AS other FROM events GROUP BY ALL)
+SELECT event_type, epoch, round(CASE WHEN coalesce(avg(auprc), -1) < 0 THEN coalesce(avg(other), -1) ELSE avg(auprc) END, 6) AS metric FROM m GROUP BY ALL""")
+def watched_task_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over tasks, of the second metric where no task has the first."""
+    value, user = F.col("value"), F.col("user_id")
+    found = _table(spark, sf_dir, "events").groupBy("event_type", (user % 9).alias("epoch"), (user % 7).alias("task")).agg(
+        F.avg(F.when((F.col("event_type") != "view") & (user % 4 == 0), value)).alias("auprc"), F.avg(F.when(F.col("event_id") % 5 > 0, value)).alias("auprc_macro_ovr"))
+    return tasks.watched_mean(found, ["event_type", "epoch"], "auprc").withColumn("metric", F.round("metric", 6))
+
+
+@query("""SELECT o_orderpriority AS model, round(coalesce(sum(o_totalprice), 0), 2) AS head_sec, round(coalesce(sum(CASE WHEN o_custkey % 3 > 0 THEN o_orderkey % 10 + 0.5 END), 0), 2) AS embed_sec,
+round(coalesce(sum(o_totalprice), 0) + coalesce(sum(CASE WHEN o_custkey % 3 > 0 THEN o_orderkey % 10 + 0.5 END), 0), 2) AS total_sec FROM orders GROUP BY 1""")
+def elapsed_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embed = F.when(F.col("o_custkey") % 3 > 0, F.col("o_orderkey") % 10 + F.lit(0.5))
+    runs = _table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("model"), F.col("o_totalprice").cast("double").alias("head_sec"), embed.alias("embed_sec"))
+    out = tasks.elapsed(runs, ["model"], ["head_sec", "embed_sec"])
+    return out.select("model", *[F.round(c, 2).alias(c) for c in out.columns[1:]])
