@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstrand.shared import stash
 
-#: A line on more than this share of its host's pages is boilerplate, if it is on so many of them at least: without
-#: that, every line of a host with fewer than 1 / RATIO pages would be.
+#: A line on more than this share of its host's pages is boilerplate.
 RATIO = 0.02
-LEAST_PAGES = 3
+#: Lines are compared without these around them.
+WHITE = " \t\r\x0b\x0c"
 #: Frequent lines up to so many bytes are broadcast; more are joined, with the pages of a host dealt over SALTS parts.
 BROADCAST_BYTES, SALTS = 32 << 20, 64
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def _bare(lines: str) -> Column:
+    return F.transform(lines, lambda x: F.trim(x, F.lit(WHITE)))
+
+
+def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = 1) -> DataFrame:
     """pages: host, lines. Returns (host, boiler): per host the sorted trimmed lines that exceed the ratio.
 
     A line counts once per page. A host has at most (mean lines per page / ratio) such lines, so the array is
     bounded by the pages' length, not by their number.
     """
     totals = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
-    lines = pages.select("host", F.explode(F.array_distinct(F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: x != ""))).alias("line"))
+    lines = pages.select("host", F.explode(F.array_distinct(F.filter(_bare("lines"), lambda x: x != ""))).alias("line"))
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("n_with")).where(F.col("n_with") >= least_pages)
     frequent = counts.join(totals, "host").where(F.col("n_with") > F.lit(ratio) * F.col("n_pages"))
     return frequent.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("boiler"))
@@ -37,17 +41,20 @@ def _with_boiler(rows: DataFrame, boiler: DataFrame) -> DataFrame:
     return salted.join(copies, ["host", "salt"], "left")
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = 1, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Per row: the id, clean_text, n_lines, n_dropped.
 
-    A line is what stands between newlines; lines are compared without the spaces around them, and blank lines
-    always stay. n_with pages of n_pages of the host hold the line: it goes from all of them if n_with >=
-    least_pages and n_with / n_pages > ratio. Null text counts as empty (one blank line); null hosts form one
+    A line is what stands between newlines; lines are compared without the white space around them, and blank lines
+    always stay. n_with pages of n_pages of the host hold the line: it goes from all of them if n_with / n_pages > ratio.
+    So a host with fewer than 1 / ratio pages loses every line; least_pages asks for so many pages with the line besides,
+    2 keeping those of one page. Null text counts as empty (one blank line); null hosts form one
     site. Repeated rows count as pages of their own. Other columns are ignored; empty tables give no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("own_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.split(text, "\n", -1).alias("lines"))
     known = _with_boiler(rows, stash(boilerplate(rows, ratio, least_pages), "boilerplate"))
-    stays = F.when(F.col("boiler").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("boiler"), F.trim(x))))
+    # The page's own boilerplate by hashing, so that only these are compared with each line.
+    known = known.withColumn("gone", F.array_intersect(_bare("lines"), F.coalesce("boiler", F.array().cast("array<string>"))))
+    stays = F.when(F.size("gone") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("gone"), F.trim(x, F.lit(WHITE)))))
     out = known.select("own_id", F.size("lines").cast("long").alias("n_lines"), stays.alias("stays"))
     return out.select(F.col("own_id").alias(id_col), F.array_join("stays", "\n").alias("clean_text"), "n_lines", (F.col("n_lines") - F.size("stays")).alias("n_dropped"))

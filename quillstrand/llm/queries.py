@@ -142,13 +142,13 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (P
 FROM d"""
 
 ORACLE_SQL["op6_line_dedup"] = f"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS host, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-l AS (SELECT host, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x)), lambda x: x <> ''))) AS line FROM d),
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, string_split(coalesce(text, ''), chr(10)) AS lines, ' ' || chr(9) || chr(13) || chr(11) || chr(12) AS white FROM documents),
+l AS (SELECT host, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x, white)), lambda x: x <> ''))) AS line FROM d),
 c AS (SELECT host, line, count(*) AS n_with FROM l GROUP BY host, line),
 t AS (SELECT host, count(*) AS n_pages FROM d GROUP BY host),
 b AS (SELECT host, list(line) AS boiler FROM c JOIN t USING (host)
-  WHERE n_with >= {line_dedup.LEAST_PAGES} AND n_with > CAST({line_dedup.RATIO} AS DOUBLE) * n_pages GROUP BY host),
-k AS (SELECT doc_id, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(boiler, []), trim(x))) AS stays FROM d LEFT JOIN b USING (host))
+  WHERE n_with > CAST({line_dedup.RATIO} AS DOUBLE) * n_pages GROUP BY host),
+k AS (SELECT doc_id, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(boiler, []), trim(x, white))) AS stays FROM d LEFT JOIN b USING (host))
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(stays) AS BIGINT) AS n_dropped,
   sha256(array_to_string(stays, chr(10))) AS clean_sha256
 FROM k"""

@@ -182,6 +182,10 @@ def test_line_dedup(spark, empty):
     got = {r["doc_id"]: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, SCHEMA), 0.5, 2).collect()}
     assert got[3]["clean_text"] == "own 3\n" and got[3]["n_dropped"] == 2 and got[9]["clean_text"] == ""
     assert line_dedup.drop_boilerplate(empty).count() == 0
+    rows = [(1, "menu\r\none\n \r", "h", "x"), (2, "\tmenu\ntwo", "h", "x"), (3, "menu", "other", "x")]
+    clean = lambda **o: {r["doc_id"]: r["clean_text"] for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, SCHEMA), 0.5, **o).collect()}
+    assert clean() == {1: "one\n \r", 2: "two", 3: ""}  # the ratio alone: a host of one page loses its lines
+    assert clean(least_pages=2) == {1: "one\n \r", 2: "two", 3: "menu"}
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 0])
