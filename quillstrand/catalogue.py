@@ -222,7 +222,7 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 5")
 def label_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(5)
+    return relations.label_frequency(_table(spark, sf_dir, "documents"), "source")
 
 
 D_WIN = """n AS (SELECT doc_id, text, length(text) AS n FROM documents), w AS (SELECT doc_id, text, n, CASE WHEN n <= 0 THEN [] WHEN n <= 512 THEN [0] ELSE list_concat(range(0, n - 512 + 1, 512), CASE WHEN n % 512 <> 0 THEN [n - 512] ELSE [] END) END AS st FROM n),
@@ -827,3 +827,98 @@ def elapsed_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("model"), F.col("o_totalprice").cast("double").alias("head_sec"), embed.alias("embed_sec"))
     out = tasks.elapsed(runs, ["model"], ["head_sec", "embed_sec"])
     return out.select("model", *[F.round(c, 2).alias(c) for c in out.columns[1:]])
+
+
+# --- tokens, cuts and marks of whole texts ------------------------------------------------------------------------
+
+LETTER_IDS = {"A": 7, "C": 8, "G": 9, "T": 10}
+RNA = {"A": 2, "U": 3, "G": 4, "C": 5}
+# Letters outside ASCII become one sign each: the engines differ in their upper case.
+D_ASCII = "s AS (SELECT doc_id, regexp_replace(seq, '[^ -~]', '#', 'g') AS seq FROM (SELECT doc_id, {SEQ} AS seq FROM documents))".replace("{SEQ}", SEQ)
+
+
+def _ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sequences(spark, sf_dir).select("doc_id", F.regexp_replace("seq", "[^ -~]", "#").alias("seq"))
+
+
+@query(f"WITH {D_ASCII} SELECT doc_id, CAST(length(seq) + 1 AS INTEGER) AS n_ids, md5(regexp_replace(upper(seq), '[^ACGT]', '', 'g')) AS decoded FROM s")
+def token_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts encoded letter by letter with an end mark, and decoded without the special ids."""
+    ids = sq.encode_tokens(sq.char_tokens("seq"), LETTER_IDS, 6, end=1)
+    rows = _ascii(spark, sf_dir).select("doc_id", ids.alias("ids"))
+    return rows.select("doc_id", F.size("ids").alias("n_ids"), F.md5(sq.decode_tokens(F.col("ids"), {v: k for k, v in LETTER_IDS.items()}, [1, 6])).alias("decoded"))
+
+
+D_3MERS = """u AS (SELECT doc_id, upper(regexp_replace(seq, '\\s', '', 'g')) AS x FROM s), k AS (SELECT doc_id, rpad(substr(x, i, 3), 3, 'N') AS w FROM (SELECT doc_id, x, unnest(range(1, length(x) + 1, 3)) AS i FROM u)),
+v AS (SELECT doc_id, CASE WHEN regexp_full_match(w, '[ACGTN]{3}') THEN 7 + 25 * (strpos('ACGTN', w[1]) - 1) + 5 * (strpos('ACGTN', w[2]) - 1) + strpos('ACGTN', w[3]) - 1 END AS id FROM k)"""
+
+
+@query(f"WITH {D_ASCII}, {D_3MERS} SELECT doc_id, id, count(*) AS n FROM v GROUP BY ALL")
+def kmer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each id of a 3-mer comes in each text; null for those with other letters."""
+    words = _ascii(spark, sf_dir).select("doc_id", F.explode(sq.tokenizer({"tokenizer_name": "kmer", "k": 3, "stride": 3})("seq")).alias("w"))
+    return words.groupBy("doc_id", sq.kmer_id(F.col("w")).alias("id")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {D_ASCII} SELECT doc_id, md5(translate(regexp_replace(upper(seq), '[^ACGT]', 'N', 'g'), 'ACGTN', '12345')) AS digest FROM s")
+def base_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = F.array_join(F.transform(sq.base_ids("seq"), lambda i: i.cast("string")), "")
+    return _ascii(spark, sf_dir).select("doc_id", F.md5(digits).alias("digest"))
+
+
+@query(f"WITH {D_ASCII}, r AS (SELECT doc_id, replace(upper(trim(seq, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31))), 'T', 'U') AS x FROM s) SELECT doc_id, rpad(translate(regexp_replace(substr(x, 1, 440), '[^AUGC]', '0', 'g'), 'AUGC', '2345'), 440, '0') AS ids, CAST(least(length(x), 440) AS INTEGER) AS masked FROM r")
+def rna_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the first 440 letters, which is the length of the window asked for; unknown letters are the padding's id."""
+    out = _ascii(spark, sf_dir).select("doc_id", sq.rna_ids("seq", RNA, 440).alias("r"))
+    return out.select("doc_id", F.array_join(F.transform("r.ids", lambda i: i.cast("string")), "").alias("ids"), F.aggregate("r.mask", F.lit(0), lambda a, x: a + x).alias("masked"))
+
+
+@query(f"""WITH {D_SEQ}, a AS (SELECT doc_id, seq, length(seq) AS n, length(seq) % 6 AS over, (6 - length(seq) % 6) % 6 AS added FROM s)
+SELECT doc_id, md5(substr(seq, over + 1)) AS cut, CAST(over AS INTEGER) AS truncated, CAST(greatest(0, least(129 + added, n + added)) // 6 * 6 AS INTEGER) AS prompt_padded,
+CAST(greatest(0, least(129 - over, n - over)) // 6 * 6 AS INTEGER) AS prompt_cut, CAST(ceil(n / 128.0::DOUBLE) * 128 AS BIGINT) AS padded FROM a""")
+def align_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut on the left to a multiple of six, prompts of 129 letters moved along, and lengths padded to 128."""
+    pad, cut, n = sq.six_align("seq"), sq.six_align("seq", "truncate"), F.length("seq")
+    rows = _sequences(spark, sf_dir).select("doc_id", n.alias("n"), pad.alias("p"), cut.alias("c"))
+    prompt = lambda x, total: sq.six_prompt(F.lit(129), x["added"], x["truncated"], total)
+    return rows.select("doc_id", F.md5("c.aligned").alias("cut"), "c.truncated", prompt(F.col("p"), F.length("p.aligned")).alias("prompt_padded"), prompt(F.col("c"), F.length("c.aligned")).alias("prompt_cut"), sq.padded_length(F.col("n"), 128).alias("padded"))
+
+
+@query(f"""WITH {D_SEQ}, b AS (SELECT doc_id, regexp_replace(seq, '\\s', '', 'g') AS x FROM s)
+SELECT doc_id, md5('<s>' || array_to_string(list_transform(range(0, CAST(ceil(length(x) / 60.0::DOUBLE) AS BIGINT)), lambda i: substr(x, i * 60 + 1, 60)), chr(10)) || '</s>') AS wrapped, md5(array_to_string(string_split(x, ''), ' ')) AS spaced FROM b""")
+def residue_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in lines of 60 letters between marks, and with a space between letters."""
+    return _sequences(spark, sf_dir).select("doc_id", F.md5(sq.fasta_wrapped("seq", "<s>", "</s>")).alias("wrapped"), F.md5(sq.spaced("seq")).alias("spaced"))
+
+
+@query("""WITH n AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS sequence_index FROM documents), p AS (SELECT *, CASE WHEN length(text) <= 1 THEN 0 ELSE greatest(1, least(length(text) - 1, 129)) END AS cut FROM n)
+SELECT sequence_index, doc_id, md5(substr(text, 1, cut)) AS prompt, md5(substr(text, cut + 1)) AS truth FROM p WHERE cut > 0""")
+def prompts_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts with the number that their row has among all rows, the skipped ones included."""
+    rows = relations.indexed(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return relations.prompt_split(rows, "text", 129).select("sequence_index", "doc_id", F.md5("prompt").alias("prompt"), F.md5("ground_truth").alias("truth"))
+
+
+@query("SELECT event_id, user_id, value FROM events ORDER BY value DESC, event_id LIMIT 1000")
+def first_thousand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of the thousand rows that come first, which is the feature."""
+    rows = _table(spark, sf_dir, "events").select("event_id", "user_id", "value", (-F.col("value")).alias("down"))
+    return relations.first_rows(rows, ["down", "event_id"], 1000).drop("down")
+
+
+@query("""SELECT event_type, user_id % 50 AS part, coalesce(round(avg(x), 6), 'NaN'::DOUBLE) AS mean, coalesce(round(median(x), 6), 'NaN'::DOUBLE) AS median, coalesce(round(stddev_pop(x), 6), 'NaN'::DOUBLE) AS std, coalesce(min(x), 'NaN'::DOUBLE) AS min, coalesce(max(x), 'NaN'::DOUBLE) AS max,
+count(*) AS count, count(x) AS valid_count FROM (SELECT event_type, user_id, CASE WHEN user_id % 50 > 3 THEN value END AS x FROM events) GROUP BY ALL""")
+def stats_of_empty_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups without a finite value have NaN in all five places."""
+    part = F.col("user_id") % 50
+    v = F.when(part > 3, F.col("value")).when(part > 1, scores.nan())
+    return _table(spark, sf_dir, "events").groupBy("event_type", part.alias("part")).agg(*metrics.five_numbers(v, 6))
+
+
+@query("""SELECT event_type, user_id % 20 AS part, round(coalesce(sum(x), 0), 4) AS nll_sum, count(x) AS tokens, round(coalesce(avg(x), 'NaN'::DOUBLE), 6) AS avg_nll FROM (SELECT event_type, user_id, CASE WHEN event_id % 3 <> 0 AND user_id % 20 > 0 THEN value END AS x FROM events) GROUP BY ALL""")
+def masked_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses over scored places; a part of the users has none."""
+    part = F.col("user_id") % 20
+    found = metrics.masked_loss(F.col("value"), (F.col("event_id") % 3 != 0) & (part > 0))
+    places = {"nll_sum": 4, "avg_nll": 6}
+    return _table(spark, sf_dir, "events").groupBy("event_type", part.alias("part")).agg(*[(F.round(c, places[n]) if n in places else c).alias(n) for n, c in found.items()])

@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import math
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -179,6 +181,27 @@ def base_ids(s: Column | str) -> Column:
     return encode_tokens(char_tokens(s), BASE_IDS, 5)
 
 
+def rna_ids(s: Column | str, vocabulary: dict[str, int], length: int, pad: int = 0) -> Column:
+    """struct(ids, mask) of the RNA's letters, cut or padded to length. Unknown letters are pad, but stay in the mask."""
+    letters = char_tokens(to_rna(s))
+    n = F.least(F.size(letters), F.lit(length))
+    mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(length) - n))
+    return F.struct(encode_tokens(letters, vocabulary, pad, length, pad).alias("ids"), mask.alias("mask"))
+
+
+def tokenizer(config: dict) -> Callable[[Column | str], Column]:
+    """The tokenizer that a configuration names, as a function of a column: tokens of k letters every stride letters for a
+    class "kmertokenizer" or a name that begins with kmer, else letters. A class "pretrainedtokenizerfast" has a
+    vocabulary of merges, which no column function stands for: NotImplementedError."""
+    kind, name = str(config.get("tokenizer_class", "")).lower(), str(config.get("tokenizer_name", "")).lower()
+    if kind == "kmertokenizer" or name.startswith("kmer"):
+        k, stride = int(config.get("k", 6)), int(config.get("stride", 6))
+        return lambda s: fixed_tokens(s, k, stride)
+    if kind == "pretrainedtokenizerfast":
+        raise NotImplementedError("merges are not a column function")
+    return char_tokens
+
+
 def six_cut(s: Column | str) -> Column:
     c = _text(s)
     return F.substring(c, F.lit(1), (F.floor(F.length(c) / 6) * 6).cast("int"))
@@ -204,6 +227,11 @@ def wrap60(s: Column | str) -> Column:
     return F.regexp_replace(_text(s), r"(.{60})(?=.)", "$1\n")
 
 
+def fasta_wrapped(s: Column | str, begin: str, end: str) -> Column:
+    """The text without white space in lines of 60 letters, between the two marks."""
+    return F.concat(F.lit(begin), wrap60(F.regexp_replace(_text(s), r"\s", "")), F.lit(end))
+
+
 def spaced(s: Column | str) -> Column:
     return F.array_join(F.split(F.regexp_replace(_text(s), r"\s", ""), ""), " ")
 

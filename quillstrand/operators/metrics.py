@@ -255,6 +255,12 @@ def watched_metric(name: str) -> str:
     return full
 
 
+def masked_loss(nll: Column, scored: Column) -> dict[str, Column]:
+    """Aggregates of token losses over scored places: their sum (0 if there are none), their count and mean (NaN)."""
+    x = F.when(scored, nll.cast("double"))
+    return {"nll_sum": F.coalesce(F.sum(x), F.lit(0.0)), "tokens": F.count(x), "avg_nll": F.coalesce(F.avg(x), scores.nan())}
+
+
 def average_loss(loss: Column, n: Column) -> Column:
     """Mean of batch losses, weighted by the batches' rows."""
     return F.sum(loss * n) / F.nullif(F.sum(n), F.lit(0))

@@ -227,3 +227,18 @@ def epoch_order(df: DataFrame, row: str, seed: int, epoch: int, chunk: str | Non
     another order. Not the numbers of any generator."""
     rank = F.xxhash64(F.lit(seed), F.lit(epoch), F.col(row))
     return df.orderBy(*([chunk] if chunk else []), rank, row)
+
+
+def indexed(df: DataFrame, order: list[str], out: str = "sequence_index") -> DataFrame:
+    """df with out, its row numbers from 0 by the order columns; filters that follow leave gaps in it."""
+    return numbered(df, order, out).withColumn(out, F.col(out) - 1)
+
+
+def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows by the order columns: each task hands on n rows at most. None for n below 1."""
+    return df.orderBy(*order).limit(max(n, 0))
+
+
+def label_frequency(df: DataFrame, label: str, n: int = 5) -> DataFrame:
+    """(label, n): the n most frequent labels; of equally frequent ones the least come first."""
+    return df.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(n)
