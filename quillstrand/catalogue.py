@@ -922,3 +922,16 @@ def masked_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = metrics.masked_loss(F.col("value"), (F.col("event_id") % 3 != 0) & (part > 0))
     places = {"nll_sum": 4, "avg_nll": 6}
     return _table(spark, sf_dir, "events").groupBy("event_type", part.alias("part")).agg(*[(F.round(c, places[n]) if n in places else c).alias(n) for n, c in found.items()])
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (SELECT vec_id, 0 AS part, v, CASE WHEN vec_id % 4 = 3 THEN 2.0::DOUBLE ELSE 1 END AS f FROM e UNION ALL SELECT vec_id, 1, v, CASE WHEN vec_id % 4 = 3 THEN 1.0::DOUBLE ELSE 2 END FROM e WHERE vec_id % 4 > 1)
+SELECT vec_id, CAST(part AS INTEGER) AS part, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS dim, round(unnest(v) * f, 6) AS x FROM p""")
+def embedding_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model outputs as lists, matrices of one and two rows, and tensors of two sequences, brought to vectors."""
+    times = lambda k: F.transform("v", lambda x: x * k)
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    kind, one = F.col("vec_id") % 4, F.to_json("v")
+    tensor = F.to_json(F.array(F.array(F.col("v"), times(3)), F.array(F.col("v"), F.col("v"))))
+    text = F.when(kind == 0, one).when(kind == 1, F.to_json(F.array("v"))).when(kind == 2, F.to_json(F.array(F.col("v"), times(2)))).otherwise(tensor)
+    rows = e.select("vec_id", F.posexplode(records.vectors(F.parse_json(text))).alias("part", "v"))
+    return rows.select("vec_id", "part", F.posexplode("v").alias("dim", "x")).withColumn("x", F.round("x", 6))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillstrand.functions.scores import pooled
+
 
 def record(text: Column) -> Column:
     """map<string, variant> of a JSON object's text, keys in their order; null for texts that are none. NaN and infinities
@@ -34,3 +36,18 @@ def line(found: Column, values: dict[str, Column]) -> Column:
     rest = F.to_json(F.map_filter(found, lambda k, v: ~k.isin(list(values))))
     new = F.concat_ws(", ", *[F.concat(F.lit(f'"{k}": '), _json(v)) for k, v in values.items()])
     return F.when(rest == "{}", F.concat(F.lit("{"), new, F.lit("}"))).otherwise(F.concat(F.substring(rest, F.lit(1), F.length(rest) - 1), F.lit(","), new, F.lit("}")))
+
+
+def vectors(output: Column, how: str = "mean") -> Column:
+    """array<array<double>>: the vectors of what a model returned, a variant of nested lists of numbers. A list is one vector, a
+    matrix one for each row, a tensor (sequences x tokens x places) one for each sequence, its tokens pooled by mean or
+    final. Null stays null; other depths, ragged nesting, empty lists and vectors of different lengths raise an error."""
+    if how not in ("mean", "final"):
+        raise ValueError(f"unknown pooling: {how}")
+    shape = F.schema_of_variant(output)
+    deep = lambda n: shape.rlike("^" + "ARRAY<" * n + "(BIGINT|DOUBLE|FLOAT|DECIMAL[^<]*)>+$")
+    get = lambda n: F.variant_get(output, "$", "array<" * n + "double" + ">" * n)
+    found = F.when(deep(1), F.array(get(1))).when(deep(2), get(2)).when(deep(3), F.transform(get(3), lambda t: pooled(t, how)))
+    found = F.coalesce(found, F.raise_error(F.concat(F.lit("not a vector, matrix or tensor: "), shape)).cast("array<array<double>>"))
+    checked = F.transform(F.array(found), lambda v: F.when(F.size(F.array_distinct(F.transform(v, F.size))) == 1, v).otherwise(F.raise_error(F.lit("vectors of different lengths")).cast("array<array<double>>")))[0]
+    return F.when(output.isNotNull(), checked)

@@ -177,6 +177,57 @@ def test_stream(spark, tmp_path):
     assert (r["count"], r["valid_count"], r["mean"], r["std"]) == (3, 2, 2.0, 1.0)
 
 
+def test_medians_of_arriving_files(spark, tmp_path):
+    import random
+
+    folder, state = tmp_path / "in", str(tmp_path / "state")
+    folder.mkdir()
+    with pytest.raises(ValueError):
+        running.medians(spark, state, "m")
+    r = random.Random(6)
+    seen = {"x": [], "y": [], "few": []}
+    for k in range(3):
+        rows = [("x", r.random()) for _ in range(4000)] + [("y", r.expovariate(1)) for _ in range(2000 * k)] + [("few", float(k)), ("few", math.nan), ("none", math.nan)]
+        for m, v in rows:
+            if not math.isnan(v):
+                seen[m].append(v)
+        (folder / f"{k}.json").write_text("\n".join(json.dumps({"m": m, "v": "NaN" if math.isnan(v) else v}) for m, v in rows))
+        writer = running.running_medians(running.result_stream(spark, str(folder), "m string, v double"), "v", "m", state)
+        run = writer.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert run.awaitTermination(90)
+        got = {g: (n, x) for g, n, x in running.medians(spark, state, "m").collect()}
+        assert math.isnan(got["none"][1]) and got["few"] == (k + 1, [0.0, 0.0, 1.0][k])
+        for g in ("x", "y")[: 1 + (k > 0)]:
+            n, x = got[g]
+            assert n == len(seen[g]) and abs(sum(v <= x for v in seen[g]) / n - 0.5) < 0.005
+    assert len(list((tmp_path / "state").iterdir())) == 2
+    assert abs(running.medians(spark, state, "m", 0.9).where("m = 'x'").first()["median"] - 0.9) < 0.01
+
+
+def test_vectors_of_other_shapes_are_refused(spark):
+    from quillstrand.functions import records
+
+    shaped = lambda text, how="mean": [r.v for r in spark.createDataFrame([(text,)], "t string").select(records.vectors(F.parse_json("t"), how).alias("v")).collect()][0]
+    assert shaped("[1, 2.5]") == [[1.0, 2.5]] and shaped("[[1], [2]]") == [[1.0], [2.0]] and shaped(None) is None
+    assert shaped("[[[1, 2], [3, 4]], [[5, 6], [5, 8]]]") == [[2.0, 3.0], [5.0, 7.0]]
+    assert shaped("[[[1, 2], [3, 4]]]", "final") == [[3.0, 4.0]]
+    for text, told in (("1", "not a vector"), ("[]", "not a vector"), ("[[[[1]]]]", "not a vector"), ('["a"]', "not a vector"), ("[1, [2]]", "not a vector"), ("[[1], [2, 3]]", "different lengths")):
+        with pytest.raises(Exception, match=told):
+            shaped(text)
+    with pytest.raises(ValueError):
+        shaped("[1]", "max")
+
+
+def test_tokenizers_by_configuration(spark):
+    df = spark.createDataFrame([("acgtac g",)], "s string")
+    cut = lambda c: df.select(sq.tokenizer(c)("s")).first()[0]
+    assert cut({"tokenizer_class": "KmerTokenizer", "k": 3, "stride": 3}) == ["ACG", "TAC", "GNN"]
+    assert cut({"tokenizer_name": "kmer-x"}) == ["ACGTAC", "GNNNNN"]
+    assert cut({}) == list("ACGTAC G")
+    with pytest.raises(NotImplementedError):
+        sq.tokenizer({"tokenizer_class": "PreTrainedTokenizerFast"})
+
+
 def test_head_and_samples(spark):
     rows = [(i, [float(i % 2), 1.0], i % 2) for i in range(40)]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
