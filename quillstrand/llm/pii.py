@@ -3,8 +3,9 @@
 The patterns give the base spans, which always stay. The field labels a document's tokens O, email, ip, card or
 phone. Its nodes are the tokens that carry a digit or an at sign; neighbours in the text share a chain potential,
 and tokens that repeat, or are alike once punctuation and case are taken off, share a skip potential however far
-apart they stand. Loopy belief propagation makes such tokens agree, so a number that one place shows to be a phone
-number ("+49 ...") is found again where it stands without its plus sign. Tokens under a base span are observed.
+apart they stand, and so do, by a weaker one, numbers that end in the same TAIL digits. Loopy belief propagation makes
+such tokens agree, so a number that one place shows to be a phone number ("+49 170 ...") is found again where it stands
+without its plus sign, or as "0170 ...". Tokens under a base span are observed.
 """
 
 from __future__ import annotations
@@ -30,8 +31,11 @@ NODE = re.compile(r"[A-Za-z0-9._%+@()-]+")
 MARKED = re.compile(r"[0-9@]")
 DIGITS = re.compile(r"[0-9]+")
 #: Log potentials. An unobserved node leans to O by BIAS; neighbours of one kind gain CHAIN; tokens that are
-#: alike gain SKIP; a shape that the kind can't have costs SHAPE. One observed mate is enough, a neighbour isn't.
-BIAS, CHAIN, SKIP, SHAPE, SURE = 2.0, 0.3, 4.0, 12.0, 14.0
+#: alike gain SKIP, similar ones NEAR; a shape that the kind can't have costs SHAPE. One observed mate is enough, a
+#: neighbour isn't. What is observed is SURE, however many copies are not.
+BIAS, CHAIN, SKIP, NEAR, SHAPE, SURE = 2.0, 0.3, 4.0, 3.0, 12.0, 1000.0
+#: Numbers are similar when so many last digits are equal: a subscriber's number without its country's and area's.
+TAIL = 8
 ROUNDS, DAMPING = 12, 0.3
 
 
@@ -145,20 +149,32 @@ def field_spans(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     if len(nodes) == len(spans):
         return []
     keys = [_key(text[s:e]) for s, e, _ in nodes]
-    mates = defaultdict(list)
+    mates, similar = defaultdict(list), defaultdict(list)
     for n, key in enumerate(keys):
         if len(key[1]) > 3:
             mates[key].append(n)
+            if key[0] == "number" and len(key[1]) > TAIL and len(mates[key]) == 1:
+                similar[key[1][-TAIL:]].append(key)
     local = np.array([[-SURE if label != kind + 1 else 0.0 for label in range(5)] if kind >= 0 else _shapes(text[s:e], key) for (s, e, kind), key in zip(nodes, keys)])
     edges, gains = [], []
     for n in range(len(nodes) - 1):
         edges.append((n, n + 1))
         gains.append(CHAIN if nodes[n + 1][0] - nodes[n][1] <= 3 else 0.0)
-    for group in mates.values():
-        # The first mate and the next one: every mate hears of all others in a few rounds, with edges in proportion.
-        hub = next((n for n in group if nodes[n][2] >= 0), group[0])
-        edges += [(min(hub, n), max(hub, n)) for n in group if n != hub]
-        gains += [SKIP] * (len(group) - 1)
+    # A group's mates share edges with one of them, an observed one if there is one: each hears of all others in two rounds,
+    # with edges in proportion to the tokens. Tokens that are similar to an observed one share an edge with it.
+    hub = {key: next((n for n in group if nodes[n][2] >= 0), group[0]) for key, group in mates.items()}
+    told = set()
+    for group in similar.values():
+        seen = next((hub[key] for key in group if nodes[hub[key]][2] >= 0), None)
+        if seen is not None:  # each token by itself, so that copies that aren't observed don't outvote the one that is
+            near = [key for key in group if nodes[hub[key]][2] < 0]
+            edges += [(seen, n) for key in near for n in mates[key]]
+            gains += [NEAR] * sum(len(mates[key]) for key in near)
+            told.update(near)
+    for key, group in mates.items():
+        if key not in told:
+            edges += [(hub[key], n) for n in group if n != hub[key]]
+            gains += [SKIP] * (len(group) - 1)
     label = _propagate(local, np.array(edges).reshape(-1, 2), np.array(gains))
     taken = {(s, k) for s, k, _ in spans}
     return [(s, int(label[n]) - 1, e) for n, (s, e, kind) in enumerate(nodes) if kind < 0 and label[n] and (s, int(label[n]) - 1) not in taken]

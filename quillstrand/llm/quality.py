@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes features in a linear support vector machine.
 
-Texts become sets of hashed n-grams (binary indicators): words, pairs of words, and character n-grams at the
-ends of words. Each indicator is scaled by its log-count ratio between the two classes (naive Bayes), and a
+Texts become sets of hashed n-grams (binary indicators): words, pairs of words, the shapes of words' beginnings and
+ends, and how much repeats. Each indicator is scaled by its log-count ratio between the two classes (naive Bayes), and a
 linear model with hinge loss is fitted to the scaled indicators by dual coordinate descent. A logistic curve
 fitted to the margins of held-back labelled rows makes them probabilities.
 """
@@ -145,7 +145,8 @@ def _margin(found: np.ndarray, model: dict) -> float:
 def scored(docs: DataFrame, model: dict, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with a score column, 0 to 1, higher where label 1 is likelier. Null, empty and blank texts get the
     score of a text without features. Only the text is an input. Other columns stay, but one named out is
-    replaced. The model (3 MB) is broadcast."""
+    replaced. The model (3 MB) is broadcast. Rows are independent: equal texts, however many, have equal scores, and null
+    ids change nothing; an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
