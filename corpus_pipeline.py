@@ -8,13 +8,15 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstrand.llm import exact_dedup, jaccard_join, packing, pii, quality
 from quillstrand.llm.queries import train_quality
-from quillstrand.shared import free_name, stash
+from quillstrand.shared import discard, free_name, settled
 
 #: Documents that score lower are rejected: those likelier bad than good. op5's predicted asks for 0.7; between the two
 #: the pipeline keeps the document.
@@ -24,7 +26,8 @@ ORACLE_SQL = None  # learning, links and merges are beyond SQL; tests/llm/test_p
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of LEAST_QUALITY or more; empty texts have the score of a text without features."""
+    """Documents with a score of LEAST_QUALITY or more; empty texts have the score of a text without features. Where all
+    labels that may be learnt from are one class, every document has that class's share: all are kept or none."""
     score = free_name("score", docs)
     return quality.scored(docs, train_quality(spark, sf_dir), out=score).where(F.col(score) >= LEAST_QUALITY).drop(score)
 
@@ -59,7 +62,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another. Only what a stage kept stays on disk, until the next one has read it; the last table that
+    is left is the last stage's input."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs = settled(spark, partial(stage, spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
