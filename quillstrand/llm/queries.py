@@ -24,10 +24,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), 0.95)
+    """Every vector's links and component, by cosine."""
+    return settled(spark, lambda: embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), 0.95), "near-vectors")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids and what they decode to, as digests."""
     out, coder = bpe.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
     written = [str(k) for k in range(1 << 16)]
@@ -40,10 +42,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar_documents(_table(spark, sf_dir, "documents"))
+    """Every document's shingles and component, by shared shingles."""
+    return settled(spark, lambda: jaccard_join.similar_documents(_table(spark, sf_dir, "documents")), "similar-documents")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard."""
     return sharding.shard(_table(spark, sf_dir, "documents"), SHARD_LIMIT)
 
 
@@ -54,6 +58,7 @@ def train_quality(spark: SparkSession, sf_dir: str) -> dict:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score; labels of a quarter of the ids are held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.scored(docs, train_quality(spark, sf_dir))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -61,26 +66,31 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its host's boilerplate lines."""
     out = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and ids, as read back from the store."""
     path = new_path(spark, "token-store")
     token_store.write_store(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"))
     return token_store.read_digests(spark, path)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts."""
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: counts and digest of the patterns' spans, and all spans."""
     found = pii.find(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of a document in a sequence."""
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
