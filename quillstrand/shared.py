@@ -70,6 +70,17 @@ def discard(df: DataFrame) -> None:
     _delete(df.sparkSession, df.stashed_at)
 
 
+#: Spark's setting for the bytes of a batch that goes to Python, and what it is unless someone sets it.
+BATCH, SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Hand texts to Python in batches of size, so that the buffers on both sides stay small beside an executor's memory. A
+    session whose setting isn't Spark's own keeps it."""
+    if spark.conf.get(BATCH, SPARKS_OWN) == SPARKS_OWN:
+        spark.conf.set(BATCH, size)
+
+
 def free_name(name: str, *frames: DataFrame) -> str:
     """name, with as many underscores after it as no column of the frames has (Spark ignores case)."""
     taken = {c.lower() for f in frames for c in f.columns}
