@@ -65,7 +65,10 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray) -> np
     Positive and negative classes share COST by their frequency, so the rarer class isn't given up.
     """
     w, a = np.zeros(len(scale) + 1), np.zeros(len(rows))  # the last weight is the bias
-    values = [scale[r] / max(np.sqrt((scale[r] ** 2).sum()), 1e-12) for r in rows]
+    # Views of one array, which is given back as a whole.
+    values = np.split(scale[np.concatenate([np.zeros(0, np.int64), *rows])], np.cumsum([len(r) for r in rows])[:-1])
+    for v in values:
+        v /= max(np.sqrt((v**2).sum()), 1e-12)
     norm = np.array([(v**2).sum() + 1.0 for v in values])
     bound = np.where(y > 0, COST * len(y) / max(2 * (y > 0).sum(), 1), COST * len(y) / max(2 * (y < 0).sum(), 1))
     order = np.random.Generator(np.random.PCG64(11))
@@ -118,12 +121,16 @@ def fit(examples: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "name": b["name"], "label": b["label"], "f": [features(t).astype(np.int32) for t in b["text"]]})
 
-    got = chosen.mapInPandas(turn, "id long, name string, label int, f array<int>").toPandas().sort_values("id", kind="stable", na_position="first")
-    labels = got["label"].to_numpy()
+    got = chosen.mapInPandas(turn, "id long, name string, label int, f array<int>").toArrow()
+    ids = got["id"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0))
+    labels = got["label"].to_numpy()[order]
     if len(set(labels.tolist())) < 2:
         return {"share": float(labels.mean()) if len(labels) else 0.5}
-    sets, y = [np.asarray(f, np.int64) for f in got["f"]], np.where(labels == 1, 1.0, -1.0)
-    held = np.array([zlib.crc32(n.encode()) % (4 * CURVE_PART) >= 4 * (CURVE_PART - 1) for n in got["name"]])
+    # Views of Arrow's buffer, in place of an array for each row.
+    sets, y = [f for part in got["f"].chunks for f in np.split(part.flatten().to_numpy(), np.cumsum(part.value_lengths().to_numpy())[:-1])], np.where(labels == 1, 1.0, -1.0)
+    sets, names = [sets[k] for k in order], got["name"].to_pylist()
+    held = np.array([zlib.crc32(names[k].encode()) % (4 * CURVE_PART) >= 4 * (CURVE_PART - 1) for k in order])
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held = np.zeros(len(y), bool)
     n = 1 << BITS
