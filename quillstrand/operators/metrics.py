@@ -164,7 +164,8 @@ def kmer_spectrum(df: DataFrame, key: str, text: str, k: Column) -> DataFrame:
 
 
 def pair_k(a: Column, b: Column) -> Column:
-    return auto_k(F.least(effective_length(a), effective_length(b)))
+    """The k that suits the shorter text. As a lambda's variable the length is worked out once, and not for each threshold."""
+    return F.transform(F.array(F.least(effective_length(a), effective_length(b))), auto_k)[0]
 
 
 def spectrum_distances(p: DataFrame, q: DataFrame, key: str) -> DataFrame:
