@@ -7,35 +7,18 @@ against brute force.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstrand import file_queries  # noqa: F401  (enters its queries)
 from quillstrand.functions import records, scores, spectra
 from quillstrand.functions import sequence as sq
 from quillstrand.operators import metrics, providers, relations
 from quillstrand.plans import completion, heads, likelihood, tasks
+from quillstrand.registry import ABC, FOLD, ORACLE, QUERIES, SEQ, Query, query
+from quillstrand.registry import table as _table
 from quillstrand.shared import stash
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-ABC = "abcdefghijklmnopqrstuvwxyz"
-FOLD = ("ACGT" * 7)[:26]
-SEQ = f"translate(lower(text), '{ABC}', '{FOLD}')"
-
-
-def query(oracle: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE[f.__name__] = oracle
-        return f
-
-    return add
-
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
@@ -45,10 +28,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _spread(df: DataFrame, key: str) -> DataFrame:
     """A small file is one task; rows that cost much are dealt to all cores first."""
     n = df.sparkSession.sparkContext.defaultParallelism
@@ -241,6 +220,12 @@ def windows_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.sample_windows(rows.select("doc_id", "window_index", "window_start"), 8, True, key="doc_id")
 
 
+@query(f"WITH {D_WIN} SELECT doc_id, least(count(*), 8) AS taken, least(count(*), 8) AS different FROM x GROUP BY doc_id")
+def windows_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many windows of each text are sampled: eight different ones, or all where there are fewer."""
+    return windows_sampled(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("taken"), F.count_distinct("window_index").alias("different"))
+
+
 @query("""WITH e AS (SELECT vec_id // 4 AS g, vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT g, i, avg(CAST(x AS DOUBLE)) AS m FROM e GROUP BY g, i)
 SELECT g, round(sqrt(sum(m * m)), 6) AS norm, round(max(m), 6) AS top, (SELECT min_by(label, vec_id) FROM embeddings WHERE vec_id // 4 = g) AS label FROM m GROUP BY g""")
 def window_group_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -628,6 +613,13 @@ def lr_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.logistic_head(e.where("vec_id % 10 < 8"), e.where("vec_id % 10 = 9"), "embedding", "label").select("vec_id", "label", "pred")
 
 
+@query()
+def perceptron_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network of three hidden layers on the same rows as lr_head."""
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return heads.perceptron_head(e.where("vec_id % 10 < 8"), e.where("vec_id % 10 = 9"), "embedding", "label", 10).select("vec_id", "label", "pred")
+
+
 # --- plans over tokens, provider outputs, audits ------------------------------------------------------------------
 
 D_LEN = "l AS (SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents)"

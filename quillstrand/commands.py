@@ -94,7 +94,7 @@ def bits_rows(lines: DataFrame) -> DataFrame:
 
 def _whole(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file, text) of small files."""
-    return spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def _place(path: Column) -> list[Column]:

@@ -26,7 +26,7 @@ def paths_below(spark: SparkSession, pattern: str) -> list[str]:
 
 def write_beside(lines: DataFrame, target: str, order: list[str], value: str, staging: str) -> list[str]:
     """Write value of all rows to the file that target names, a line each, in order; returns the targets. Files that are
-    there are replaced; targets without rows are left alone.
+    there are replaced, folders that are missing made; targets without rows are left alone.
 
     lines must give the same rows when read again, as a stored table does. The rows of a target go to one task, which
     streams them to one file, since one file is asked for. Spark commits the files to a folder below staging (in the
@@ -49,6 +49,7 @@ def write_beside(lines: DataFrame, target: str, order: list[str], value: str, st
         for name, where in names.items():
             (part,) = paths_below(spark, f"{folder}/file={name}/part-*")
             placed = hadoop_path(spark, where)
+            _file_system(spark, placed).mkdirs(placed.getParent())
             context.rename(hadoop_path(spark, part), placed, over)
             local = _file_system(spark, placed)
             if local.getScheme() == "file":  # the checksum's own file, which edits by others would make wrong
@@ -56,3 +57,25 @@ def write_beside(lines: DataFrame, target: str, order: list[str], value: str, st
     finally:
         _file_system(spark, made).delete(made, True)
     return targets
+
+
+def write_named(df: DataFrame, names: list[str], folder: str, kind: str) -> None:
+    """Write the other columns of df as kind (csv with a header, json, text, parquet) to a folder of part files for each path
+    that the columns names spell: folder/<first>/<second>... Names are letters, digits and .-_ only.
+
+    Spark writes and commits all of them in one pass, however many tasks a path takes, below a staging folder; then the
+    driver moves each to its place, which must be free. The driver holds the paths, no rows.
+    """
+    spark = df.sparkSession
+    top = folder.rstrip("/")
+    staging = hadoop_path(spark, f"{top}/_staging-{uuid.uuid4().hex}")
+    files = _file_system(spark, staging)
+    try:
+        df.write.partitionBy(*names).option("header", True).format(kind).save(staging.toString())
+        for found in paths_below(spark, staging.toString() + f"/{names[0]}=*" + "/*=*" * (len(names) - 1)):
+            placed = hadoop_path(spark, "/".join([top, *[step.partition("=")[2] for step in found.split("/")[-len(names) :]]]))
+            files.mkdirs(placed.getParent())
+            if files.exists(placed) or not files.rename(hadoop_path(spark, found), placed):
+                raise FileExistsError(placed.toString())
+    finally:
+        files.delete(staging, True)
