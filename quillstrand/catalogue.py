@@ -235,6 +235,14 @@ def window_group_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("g", F.round(norm, 6).alias("norm"), F.round(F.array_max("mean_vector"), 6).alias("top"), "label")
 
 
+@query("""WITH e AS (SELECT vec_id // 4 AS g, unnest(embedding) AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim FROM embeddings) SELECT g, dim, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM e GROUP BY g, dim""")
+def window_group_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All places of the mean vectors that window_group_mean shows by norm and maximum."""
+    e = _table(spark, sf_dir, "embeddings").withColumn("g", F.expr("vec_id div 4"))
+    means = relations.group_mean(e, "g", "embedding", "vec_id", "label")
+    return means.select("g", F.posexplode("mean_vector").alias("dim", "mean")).withColumn("mean", F.round("mean", 6))
+
+
 D_SPLIT = "CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END"
 
 
@@ -749,6 +757,14 @@ def scalar_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", text.alias("text")).select("event_id", kept.alias("kept"))
 
 
+@query(f"WITH {D_SEQ} SELECT doc_id, md5(seq) AS digest FROM s WHERE regexp_full_match(seq, '[ACGTN]+') UNION ALL SELECT doc_id, md5(regexp_replace(seq, '[^ACGTN]', '', 'g')) FROM s WHERE NOT regexp_full_match(seq, '[ACGTN]+') AND regexp_matches(seq, '[ACGTN]')")
+def strict_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences that pass the strict alphabet as they are, and others once their other letters are taken out."""
+    rows = _sequences(spark, sf_dir)
+    own = F.when(sq.is_strict_dna("seq"), F.col("seq")).otherwise(F.regexp_replace("seq", "[^ACGTN]", ""))
+    return rows.select("doc_id", own.alias("seq")).where("seq <> ''").select("doc_id", F.md5(sq.strict_dna("seq")).alias("digest"))
+
+
 @query("SELECT event_type, round(sum(value * (event_id % 64)) / sum(event_id % 64), 6) AS loss FROM events GROUP BY event_type")
 def average_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     loss = metrics.average_loss(F.col("value"), F.col("event_id") % 64)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillstrand import commands
 from quillstrand.functions import scores
 from quillstrand.operators import metrics, relations
+from quillstrand.plans import tasks
 from quillstrand.registry import ABC, FOLD, SEQ, query, table
 from quillstrand.shared import new_path, settled, stash
 from quillstrand.sources import beside, readers, writers
@@ -192,6 +193,31 @@ def bits_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _through(spark, "bits-rewritten", make)
 
 
+D_LOGITS = """z AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings), p AS (SELECT *, list_position(z, list_max(z)) - 1 AS k, round(1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))), 6) AS c FROM z),
+o AS (SELECT vec_id, k, c, label AS a, label // 4 AS b FROM p)"""
+_NAMED = {"kind": ("a", 8), "group": ("b", 2)}
+
+
+@query(f"WITH {D_LOGITS} SELECT vec_id, " + ", ".join(
+    f"CASE WHEN {c} < {n} THEN {c} ELSE -1 END AS {t}_true_label_id, CASE WHEN {c} < {n} THEN '{t} ' || {c} ELSE 'class_-1' END AS {t}_true_label, k AS {t}_predicted_label_id, CASE WHEN k < {n} THEN '{t} ' || k ELSE 'class_' || k END AS {t}_predicted_label, c AS {t}_confidence" for t, (c, n) in _NAMED.items()) + " FROM o")
+def predictions_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of two tasks from the same logits as one CSV table; some labels and classes aren't in a vocabulary."""
+    z = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
+    ids = {t: {f"{t} {k}": k for k in range(n)} for t, (_, n) in _NAMED.items()}
+    labels = {"kind": F.concat(F.lit("kind "), F.col("label")), "group": F.concat(F.lit("group "), F.floor(F.col("label") / 4))}
+    rows = tasks.encoded(table(spark, sf_dir, "embeddings").select("vec_id", z.alias("z"), *[c.alias(t) for t, c in labels.items()]), ids)
+    made = tasks.predictions(rows.withColumns({f"{t}_logits": F.col("z") for t in ids}), ids, "vec_id", [])
+
+    def make(folder: str) -> DataFrame:
+        writers.write_csv(made, f"{folder}/test_predictions.csv")
+        kinds = {"id": "long", "true_label_id": "long", "predicted_label_id": "long", "confidence": "double"}
+        schema = ", ".join(f"{c} {kinds.get(c.partition('_')[2], 'string')}" for c in made.columns)
+        read = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(f"{folder}/test_predictions.csv")
+        return read.withColumns({f"{t}_confidence": F.round(f"{t}_confidence", 6) for t in ids})
+
+    return _through(spark, "predictions-file", make)
+
+
 # --- caches, logs, vocabularies, summaries, streams ---------------------------------------------------------------
 
 
