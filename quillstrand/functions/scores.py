@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillstrand.functions import waves
+
 #: Characters before the scored part of a sequence.
 SCORED_AFTER = 128
 
@@ -53,25 +54,13 @@ def exact_match(a: Column, b: Column) -> Column:
 
 
 def _edits(a: str, b: str) -> int:
-    """Levenshtein distance: a column of the table at a time, its steps up and down as the bits of two numbers (Myers)."""
-    if not a or not b:
-        return len(a) + len(b)
-    places: dict[str, int] = {c: int("".join("1" if x == c else "0" for x in reversed(a)), 2) for c in set(a) & set(b)}
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, cost = full, 0, len(a)
-    for c in b:
-        eq = places.get(c, 0)
-        diagonal = (((eq & up) + up) ^ up) | eq | down
-        right, left = down | (full & ~(diagonal | up)), up & diagonal
-        cost += 1 if right & top else -1 if left & top else 0
-        right, left = (right << 1) | 1, left << 1
-        up, down = full & (left | ~(diagonal | right)), full & right & diagonal
-    return cost
+    """Levenshtein distance."""
+    return waves.compare(waves.Edits, [a], [b])[0]
 
 
 def _distances(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
-        yield pd.Series([None if x is None or y is None else _edits(x, y) for x, y in zip(a, b)], dtype="Int64")
+        yield pd.Series(waves.compare(waves.Edits, a, b), dtype="Int64")
 
 
 def edit_distance(truth: Column, made: Column) -> Column:
@@ -79,30 +68,14 @@ def edit_distance(truth: Column, made: Column) -> Column:
 
 
 def _global_score(a: str, b: str) -> int:
-    """Global alignment score with match 1, mismatch -1, gap -1, a row at a time.
-
-    Inside a row, cur[j] = max over i <= j of (cand[i] - (j - i)), a running maximum of cand[i] + i; so rows are kept
-    with j added.
-    """
-    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
-    row, next_row, gains = np.zeros(len(y) + 1, np.int32), np.empty(len(y) + 1, np.int32), {}
-    for c in x.tolist():
-        gain = gains.get(c)
-        if gain is None:
-            gain = (y == c).astype(np.int32) * 2
-            if len(gains) < 32:
-                gains[c] = gain
-        np.add(row[:-1], gain, out=next_row[1:])
-        next_row[0] = row[0] - 1
-        row -= 1
-        np.maximum(next_row, row, out=next_row)
-        np.maximum.accumulate(next_row, out=row)
-    return int(row[-1]) - len(y)
+    """Global alignment score with match 1, mismatch -1, gap -1."""
+    return waves.compare(waves.Alignment, [a], [b])[0]
 
 
 def _alignments(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
-        yield pd.Series([None if x is None or y is None else _global_score(x, y) / len(x) if x else 0.0 for x, y in zip(a, b)], dtype="float64")
+        found = waves.compare(waves.Alignment, a, b)
+        yield pd.Series([None if s is None else s / len(x) if x else 0.0 for x, s in zip(a, found)], dtype="float64")
 
 
 def alignment_score(a: Column | str, b: Column | str) -> Column:
