@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstrand.sources.writers import CSV
+
 
 def hadoop_path(spark: SparkSession, path: str):
     """A path of Hadoop's. Paths with a scheme are read as URLs, as file_path in _metadata is one."""
@@ -71,7 +73,7 @@ def write_named(df: DataFrame, names: list[str], folder: str, kind: str) -> None
     staging = hadoop_path(spark, f"{top}/_staging-{uuid.uuid4().hex}")
     files = _file_system(spark, staging)
     try:
-        df.write.partitionBy(*names).option("header", True).format(kind).save(staging.toString())
+        df.write.partitionBy(*names).options(**(CSV if kind == "csv" else {})).format(kind).save(staging.toString())
         for found in paths_below(spark, staging.toString() + f"/{names[0]}=*" + "/*=*" * (len(names) - 1)):
             placed = hadoop_path(spark, "/".join([top, *[step.partition("=")[2] for step in found.split("/")[-len(names) :]]]))
             files.mkdirs(placed.getParent())

@@ -14,6 +14,9 @@ SEQUENCE = "taxid long, sequence string"
 DATASETS = {f"{na}-{label}-{check}" for na in ("ALL", "DNA", "RNA") for label in ("host", "taxon") for check in ("genus", "times")}
 BUCKETS = {f"{kind}-{size}" for kind in ("genome", "cds") for size in ("short", "medium", "long")}
 
+#: What writers.CSV writes. Spark takes "" for null unless its sign of null is another text than the empty one.
+CSV = {"header": True, "escape": '"', "nullValue": "\0null\0", "emptyValue": ""}
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -39,7 +42,8 @@ def read_metadata(spark: SparkSession, split_dir: str, split: str, schema: str)
     path = f"{split_dir}/{split}.csv"
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    return spark.read.schema(schema).option("header", True).csv(path).withColumn("split", F.lit(split))
+    # Fields may hold line breaks, so a file isn't split; written by many tasks, it is a folder of many.
+    return spark.read.schema(schema).options(**CSV, multiLine=True).csv(path).withColumn("split", F.lit(split))
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -52,7 +56,7 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".jsonl"):
         return read_jsonl(spark, path, SEQUENCE_LIST)
     if path.endswith(".csv"):
-        head = spark.read.option("header", True).csv(path)
+        head = spark.read.options(**CSV).csv(path)
         if missing := {"taxid", "sequence"} - set(head.columns):
             raise KeyError(f"missing columns: {sorted(missing)}")
         return head.select(F.expr("try_cast(taxid as long)").alias("taxid"), "sequence")

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fields keep white space at their ends and backslashes; quotes are doubled. Null is an empty field, an empty text is "".
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_rows(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", False).json(path)
 
@@ -16,7 +20,7 @@ def write_summary(one_row: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).csv(path)
+    df.write.options(**CSV).csv(path)
 
 
 def write_embeddings(df: DataFrame, path: str) -> None:

@@ -1,12 +1,14 @@
 """Files named by columns, whole JSON files, and heads of several layers."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillstrand import commands
+from quillstrand import catalogue, commands
 from quillstrand.plans import heads
+from quillstrand.registry import ABC, FOLD
 from quillstrand.sources import beside
 
 
@@ -54,3 +56,16 @@ def test_perceptron_learns_what_no_line_parts(spark):
     out = {r["vec_id"]: r for r in heads.perceptron_head(e, e, "embedding", "label", 2, hidden=(6,), rounds=100).collect()}
     assert len(out) == 83 and all(out[i]["pred"] == rows[i][2] and len(out[i]["logits"]) == 2 for i in range(80))
     assert out[100]["pred"] is None and out[100]["logits"] is None and out[102]["pred"] == 1 and out[102]["prediction"] == "kept"
+
+
+def test_split_files_of_texts_without_bases_and_odd_languages(spark, tmp_path):
+    langs = ["en", " en ", 'a"b', "a\\b", "a\\", '\\"', "a,b", "a\nb", "", None, "\t", '"q"']
+    rows = [(20 * k + j, t, lang) for k, lang in enumerate(langs) for j, t in ((1, "acgt"), (8, "123"), (9, None), (18, ""))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    bases = "acgt".translate(str.maketrans(ABC, FOLD))
+    want = {1: ("train", md5(bases)), 8: ("val", md5("")), 9: ("test", None), 18: ("val", md5(""))}
+    got = {r["taxid"]: tuple(r)[1:] for r in catalogue.queries()["split_files"](spark, str(tmp_path)).collect()}
+    assert got == {i: (want[i % 20][0], lang, want[i % 20][1]) for i, _, lang in rows}
+    found = catalogue.queries()["sequence_table"](spark, str(tmp_path)).collect()
+    assert sorted(r["digest"] for r in found) == sorted(md5(bases if t == "acgt" else "") for _, t, _ in rows)
