@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstrand import file_queries  # noqa: F401  (enters its queries)
-from quillstrand.functions import records, scores, spectra
+from quillstrand.functions import letters, records, scores, spectra
 from quillstrand.functions import sequence as sq
 from quillstrand.operators import metrics, providers, relations
 from quillstrand.plans import completion, heads, likelihood, tasks
 from quillstrand.registry import ABC, FOLD, ORACLE, QUERIES, SEQ, Query, query
 from quillstrand.registry import table as _table
-from quillstrand.shared import stash
+from quillstrand.shared import small_batches, stash
 
 
 def queries() -> dict[str, Query]:
@@ -408,6 +408,7 @@ def _spectrum_oracle(name: str, column: str, source: str, k: str) -> str:
 
 @query(f"WITH {D_SEQ}, {_spectrum_oracle('q', 'seq', 's', '3')} SELECT doc_id, CAST(k AS INTEGER) AS k, i, round(p, 9) AS p FROM q")
 def kmer_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return metrics.kmer_spectrum(_sequences(spark, sf_dir), "doc_id", "seq", F.lit(3)).withColumn("p", F.round("p", 9))
 
 
@@ -852,9 +853,9 @@ def _ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {D_ASCII} SELECT doc_id, CAST(length(seq) + 1 AS INTEGER) AS n_ids, md5(regexp_replace(upper(seq), '[^ACGT]', '', 'g')) AS decoded FROM s")
 def token_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts encoded letter by letter with an end mark, and decoded without the special ids."""
-    ids = sq.encode_tokens(sq.char_tokens("seq"), LETTER_IDS, 6, end=1)
-    rows = _ascii(spark, sf_dir).select("doc_id", ids.alias("ids"))
-    return rows.select("doc_id", F.size("ids").alias("n_ids"), F.md5(sq.decode_tokens(F.col("ids"), {v: k for k, v in LETTER_IDS.items()}, [1, 6])).alias("decoded"))
+    small_batches(spark)
+    rows = _ascii(spark, sf_dir).select("doc_id", letters.recoded("seq", LETTER_IDS, 6, end=1).alias("r"))
+    return rows.select("doc_id", "r.n_ids", F.md5("r.decoded").alias("decoded"))
 
 
 D_3MERS = """u AS (SELECT doc_id, upper(regexp_replace(seq, '\\s', '', 'g')) AS x FROM s), k AS (SELECT doc_id, rpad(substr(x, i, 3), 3, 'N') AS w FROM (SELECT doc_id, x, unnest(range(1, length(x) + 1, 3)) AS i FROM u)),
