@@ -1,4 +1,4 @@
-"""Distances of the k-mer spectra of two texts, inside the row: nothing is exploded or shuffled."""
+"""k-mer spectra of texts and their distances, inside the row: nothing is exploded or shuffled."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,10 +20,10 @@ def spectrum(text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(times, share): how large a share of the 4 ** k k-mer types is seen so often, in ascending order of times, 0 first."""
     codes = CODES[np.frombuffer(text.encode(), np.uint8)]
     n = len(codes) - k + 1
-    if n < 1:
+    if n < 1 or k < 1:
         return np.zeros(1), np.ones(1)
     bad = np.concatenate([[0], np.cumsum(codes == BROKEN)])
-    words = np.zeros(n, np.int32)
+    words = np.zeros(n, np.int32 if k < 16 else np.int64)
     for j in range(k):
         words *= 4
         words += codes[j : j + n] & 3
@@ -54,3 +55,17 @@ def _distances(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Ite
 def spectrum_distances(a: Column, b: Column, k: Column) -> Column:
     """struct(kmer_ks, kmer_jsd, kmer_emd) of two texts; nulls where one is null or k is."""
     return F.pandas_udf(_distances, "kmer_ks double, kmer_jsd double, kmer_emd double")(a, b, k)
+
+
+def _bins(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, ks in columns:
+        found = [(np.zeros(1), None) if k is None else spectrum(t or "", k) for t, k in zip(texts.to_pylist(), ks.to_pylist())]
+        offsets = np.concatenate([[0], np.cumsum([len(times) for times, _ in found])])
+        times = pa.array(np.concatenate([np.empty(0), *(t for t, _ in found)]).astype(np.int64))
+        shares = pa.concat_arrays([pa.array([], pa.float64()), *(pa.nulls(1, pa.float64()) if p is None else pa.array(p) for _, p in found)])
+        yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([times, shares], ["i", "p"]))
+
+
+def spectrum_bins(text: Column, k: Column) -> Column:
+    """array of struct(i, p): the bins of a text's spectrum, 0 first; a null text is an empty one."""
+    return F.arrow_udf(_bins, "array<struct<i: bigint, p: double>>")(text, k)

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quillstrand.functions import scores
-from quillstrand.functions.sequence import auto_k, effective_length, kmers
+from quillstrand.functions import scores, spectra
+from quillstrand.functions.sequence import auto_k, effective_length
 from quillstrand.operators.ranges import before_row
 from quillstrand.shared import settled
 
@@ -154,13 +154,7 @@ def binary_ranking(df: DataFrame, label: str = "label", score: str = "score") ->
 def kmer_spectrum(df: DataFrame, key: str, text: str, k: Column) -> DataFrame:
     """(key, k, i, p): share of the 4 ** k k-mer types seen i times; i = 0 included. Without k-mers p is 1 at 0."""
     rows = df.select(key, k.cast("int").alias("k"), F.col(text).alias("t"))
-    counts = rows.select(key, "k", F.explode(kmers(F.col("t"), F.col("k"))).alias("w")).groupBy(key, "k", "w").agg(F.count("*").alias("i"))
-    total = F.pow(F.lit(4.0), F.col("k"))
-    seen = counts.groupBy(key, "k", "i").agg(F.count("*").cast("double").alias("f"))
-    # The bin of types never seen holds all types less the seen ones, told from the row itself.
-    types = F.size(F.array_distinct(kmers(F.col("t"), F.col("k"))))
-    zero = rows.select(key, "k", F.lit(0).cast("long").alias("i"), (1 - types / total).alias("p"))
-    return seen.select(key, "k", "i", (F.col("f") / total).alias("p")).union(zero)
+    return rows.select(key, "k", F.inline(spectra.spectrum_bins(F.col("t"), F.col("k"))))
 
 
 def pair_k(a: Column, b: Column) -> Column:
