@@ -5,16 +5,50 @@ A scorer is anything that makes a table (sequence_index, avg_nll_token, token_co
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstrand.functions import scores
 from quillstrand.operators import metrics
+from quillstrand.shared import small_batches
+
+#: Letters below this number are counted in a table of that length, others by sorting.
+DENSE = 1 << 14
+
+
+def _counts(text: str, order: int) -> tuple[list[str], list[int]]:
+    if order:
+        grams = Counter(map("".join, zip(*[text[k:] for k in range(order + 1)])))
+        return list(grams), list(grams.values())
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    if len(codes) and codes.max() < DENSE:
+        times = np.bincount(codes)
+        seen = np.flatnonzero(times)
+        return [chr(c) for c in seen.tolist()], times[seen].tolist()
+    seen, times = np.unique(codes, return_counts=True)
+    return [chr(c) for c in seen.tolist()], times.tolist()
 
 
 def _grams(text: Column, order: int) -> Column:
-    """All runs of order + 1 letters, in one pass over the text."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{order + 1}}}))."), F.lit(1))
+    """array of struct(gram, c): the runs of order + 1 letters of a text, and how often each comes in it."""
+
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            grams: list[str] = []
+            times: list[int] = []
+            ends = [0]
+            for t in texts:
+                for into, found in zip((grams, times), _counts(t.as_py() or "", order)):
+                    into += found
+                ends.append(len(grams))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(grams, pa.string()), pa.array(times, pa.int64())], ["gram", "c"]))
+
+    return F.arrow_udf(counted, "array<struct<gram: string, c: bigint>>")(text)
 
 
 def _parts(order: int) -> list[Column]:
@@ -23,7 +57,8 @@ def _parts(order: int) -> list[Column]:
 
 def markov_counts(train: DataFrame, text: str, order: int = 0) -> DataFrame:
     """(context, letter, n, total): counts of each letter after each context of order letters."""
-    grams = train.select(F.explode(_grams(F.col(text), order)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    small_batches(train.sparkSession)
+    grams = train.select(F.inline(_grams(F.col(text), order))).groupBy("gram").agg(F.sum("c").alias("n"))
     return grams.select(*_parts(order), "n").withColumn("total", F.sum("n").over(Window.partitionBy("context")))
 
 
@@ -31,9 +66,8 @@ def markov_scores(df: DataFrame, counts: DataFrame, key: str, text: str, order:
     """(key, avg_nll_token, token_count): mean of -ln p with one added to each count, over letters past `after`."""
     first = max(after, order)
     scored = F.substring(F.col(text), F.lit(first - order + 1), F.length(text))
-    rows = df.where(F.length(text) > first).select(key, F.explode(_grams(scored, order)).alias("gram"))
-    # Equal grams of a row are counted once before the join.
-    rows = rows.groupBy(key, "gram").agg(F.count("*").alias("c")).select(key, *_parts(order), "c")
+    small_batches(df.sparkSession)
+    rows = df.where(F.length(text) > first).select(key, F.inline(_grams(scored, order))).select(key, *_parts(order), "c")
     p = (F.coalesce("n", F.lit(0)) + 1.0) / (F.coalesce("total", F.lit(0)) + float(letters))
     totals = rows.join(counts, ["context", "letter"], "left").groupBy(key).agg(F.sum(F.col("c") * -F.log(p)).alias("nll"), F.sum("c").alias("token_count"))
     return totals.select(key, (F.col("nll") / F.col("token_count")).alias("avg_nll_token"), "token_count")
