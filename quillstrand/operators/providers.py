@@ -22,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType, StructType
 
 from quillstrand.functions.scores import SCORED_AFTER
+from quillstrand.shared import small_batches
 
 Score = Callable[[list[str]], pd.DataFrame]
 #: Letters of an error that rows keep.
@@ -73,8 +74,10 @@ def run(df: DataFrame, name: str, text: str, batch: int = 64, options: dict[str,
     columns, each row of that batch has error, the first ERROR_LETTERS letters of what was raised, NaN in columns of
     floating point and null in others; all other rows have a null error and are as they would be without it. What setup
     raises, and a provider that doesn't return its declared columns for no texts, fail the job before the first row.
-    ValueError if a column is there already. No shuffle; a task holds one Arrow batch.
+    ValueError if a column is there already. No shuffle; a task holds one Arrow batch, of 8 MB (see small_batches), and
+    the strings of batch of its rows.
     """
+    small_batches(df.sparkSession)
     own = StructType.fromDDL(named(name).output)
     if taken := {c.lower() for c in df.columns} & {c.lower() for c in [*own.names, error]}:
         raise ValueError(f"columns are there already: {sorted(taken)}")
@@ -91,11 +94,10 @@ def run(df: DataFrame, name: str, text: str, batch: int = 64, options: dict[str,
             _arrays(score([]), fields, 0)
             _READY[name, said] = score
         for rows in batches:
-            texts = [t or "" for t in rows.column(place).to_pylist()]
             made: list[list[pa.Array]] = [[] for _ in fields]
             errors: list[str | None] = []
-            for k in range(0, len(texts), batch):
-                part = texts[k : k + batch]
+            for k in range(0, rows.num_rows, batch):
+                part = [t or "" for t in rows.column(place).slice(k, batch).to_pylist()]
                 try:
                     columns, failed = _arrays(score(part), fields, len(part)), None
                 except Exception as e:  # whatever a provider raises is told in its rows
