@@ -371,11 +371,19 @@ def locus_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 D_PAIR = "t AS (SELECT a.doc_id, regexp_replace(a.seq, '[^ -~]', '#', 'g') AS t, regexp_replace(b.seq, '[^ -~]', '#', 'g') AS m FROM s a JOIN s b ON b.doc_id = a.doc_id + 1), pr AS (SELECT doc_id, t, substr(m, 1, length(t)) AS m, m AS whole FROM t)"
 
 
+#: Tasks of pairs of texts for each core and for each partition of the input.
+TASKS = 3
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, t, whole (the text after it) and m, which is whole cut to the length of t."""
     # Other characters are masked: the oracle's edit distance counts bytes.
-    s = _sequences(spark, sf_dir).select("doc_id", F.regexp_replace("seq", "[^ -~]", "#").alias("t"))
-    both = s.join(s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("whole")), "doc_id")
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    s = docs.select("doc_id", letters.masked(F.lower("text"), dict(zip(ABC, FOLD))).alias("t"))
+    # Pairs take long for their bytes: partitions are not merged by size, so that no core gets all of the longest texts.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS * spark.sparkContext.defaultParallelism, TASKS * docs.rdd.getNumPartitions())
+    after = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("whole"))
+    both = s.repartition(n, "doc_id").join(after.repartition(n, "doc_id"), "doc_id")
     return both.select("doc_id", "t", "whole", F.substring(F.col("whole"), F.lit(1), F.length("t")).alias("m"))
 
 

@@ -9,18 +9,27 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Texts whose bytes masked() spreads out at a time.
+AT_ONCE = 256
 
-def _letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(code points of all texts, where each text begins and the last ends)."""
+
+def _raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, where each text begins and the last ends)."""
     texts = texts.cast(pa.large_string()).fill_null("")
     whole = pa.concat_arrays([texts])
     _, at, data = whole.buffers()
-    ends = np.frombuffer(at, np.int64, len(whole) + 1, 8 * whole.offset)
-    raw = np.frombuffer(data, np.uint8, ends[-1] - ends[0], ends[0]) if len(whole) and ends[-1] > ends[0] else np.empty(0, np.uint8)
+    ends = np.frombuffer(at, np.int64, len(whole) + 1, 8 * whole.offset) if len(whole) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8, ends[-1] - ends[0], ends[0]) if ends[-1] > ends[0] else np.empty(0, np.uint8)
+    return raw, ends - ends[0]
+
+
+def _letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts, where each text begins and the last ends)."""
+    raw, ends = _raw(texts)
     if not len(raw) or raw.max() < 128:
-        return raw, ends - ends[0]
+        return raw, ends
     begun = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # bytes that begin a letter
-    return np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32), begun[ends - ends[0]]
+    return np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32), begun[ends]
 
 
 def _by_number(table: dict[int, int], numbers: np.ndarray, other: int) -> np.ndarray:
@@ -60,3 +69,26 @@ def recoded(text: Column | str, vocabulary: dict[str, int], unknown: int, end: i
             yield pa.StructArray.from_arrays([pa.array(np.diff(at), pa.int32()), made], ["n_ids", "decoded"], mask=texts.is_null())
 
     return F.arrow_udf(both, "n_ids int, decoded string")(F.upper(text))
+
+
+def masked(text: Column | str, table: dict[str, str], other: str = "#") -> Column:
+    """A text with the letters of table replaced, and each letter outside printable ASCII by other; all of them ASCII."""
+    by_byte = np.zeros(256, np.uint8)
+    by_byte[[*range(128), *range(0xC0, 256)]] = ord(other)  # bytes that don't begin a letter stay 0 and are left out
+    by_byte[32:127] = range(32, 127)
+    by_byte[[ord(c) for c in table]] = [ord(c) for c in table.values()]
+
+    def replaced(texts: pa.Array) -> pa.Array:
+        letters, at = _raw(texts)
+        made = by_byte[letters]
+        kept = made > 0
+        if not kept.all():
+            at, made = np.concatenate([[0], np.cumsum(kept)])[at], made[kept]
+        valid = pa.array(texts.is_valid()).buffers()[1] if texts.null_count else None
+        return pa.Array.from_buffers(pa.large_string(), len(texts), [valid, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(made)]).cast(pa.string())
+
+    def replace(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.concat_arrays([pa.array([], pa.string()), *(replaced(texts.slice(k, AT_ONCE)) for k in range(0, len(texts), AT_ONCE))])
+
+    return F.arrow_udf(replace, "string")(text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,10 +48,22 @@ def strip_prefix(text: Column, prefix: Column) -> Column:
     return F.when((prefix != "") & F.startswith(text, prefix), F.substring(text, F.length(prefix) + 1, F.length(text))).otherwise(text)
 
 
+def same_places(a: str | None, b: str | None) -> int:
+    """How many letters of two texts of one length are the same; 0 for other lengths and nulls."""
+    if not a or not b or len(a) != len(b):
+        return 0
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    return int(np.count_nonzero(x == y))
+
+
+def _same_places(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in pairs:
+        yield pd.Series([same_places(x, y) for x, y in zip(a, b)], dtype="int64")
+
+
 def exact_match(a: Column, b: Column) -> Column:
     n = F.length(a)
-    same = F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x == y), lambda e: e))
-    return F.when((n > 0) & (n == F.length(b)), same / n).otherwise(F.lit(0.0))
+    return F.when((n > 0) & (n == F.length(b)), F.pandas_udf(_same_places, "long")(a, b) / n).otherwise(F.lit(0.0))
 
 
 def _edits(a: str, b: str) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillstrand.functions.sequence import K_THRESHOLDS
+
 #: Two bits for A, C, G, T; other bytes break a k-mer.
 BROKEN = 4
 CODES = np.full(256, BROKEN, np.uint8)
@@ -46,6 +49,12 @@ def distances(a: str, b: str, k: int) -> tuple[float, float, float]:
     return float(gap.max()), float(0.5 * np.sum(x * np.log2(x / m) + y * np.log2(y / m))), float(np.sum(gap * width))
 
 
+def pair_k(a: str, b: str) -> int:
+    """The k that suits the shorter text, as metrics.pair_k."""
+    bases = min(int(np.count_nonzero(CODES[np.frombuffer(t.encode(), np.uint8)] != BROKEN)) for t in (a, b))
+    return 1 + bisect_right(K_THRESHOLDS, bases)
+
+
 def _distances(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for a, b, k in columns:
         rows = [(None,) * 3 if x is None or y is None or n != n else distances(x, y, int(n)) for x, y, n in zip(a, b, k)]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrand.functions import scores, spectra
+from quillstrand.functions import scores, spectra, waves
 from quillstrand.functions.sequence import is_coding_region
 from quillstrand.operators import metrics
 from quillstrand.shared import free_name
@@ -14,6 +17,15 @@ from quillstrand.shared import free_name
 METRICS = ("edit_distance", "exact_match_acc", "kmer_jsd", "kmer_ks", "is_cds")
 
 
+def _scored(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """All that is found out about two texts letter by letter, so that they go to Python once; nulls where one is null."""
+    for a, b in pairs:
+        both = zip(a, b, waves.compare(waves.Edits, a, b))
+        rows = [(None,) * 4 if d is None else (d, scores.same_places(x, y), *spectra.distances(x, y, spectra.pair_k(x, y))[:2]) for x, y, d in both]
+        found = pd.DataFrame(rows, columns=["edits", "same", "kmer_ks", "kmer_jsd"])
+        yield found.astype({"edits": "Int64", "same": "Int64", "kmer_ks": "float64", "kmer_jsd": "float64"})
+
+
 def with_metrics(df: DataFrame, truth: str = "ground_truth", made: str = "generated") -> DataFrame:
     """df with METRICS in place of such columns it holds, worked out inside each row. The continuation is cut to the truth's
     length, except for is_cds. Missing texts give NaN; two empty ones match; one empty one gives NaN and 0."""
@@ -23,18 +35,19 @@ def with_metrics(df: DataFrame, truth: str = "ground_truth", made: str = "genera
     full = (F.coalesce(F.length(t), F.lit(0)) > 0) & (F.coalesce(F.length(m), F.lit(0)) > 0)
     # Rows without both texts give the functions nulls, which they pass by.
     a, b = F.when(full, t), F.when(full, m)
-    gaps = free_name("gaps", df)
-    df = df.withColumn(gaps, spectra.spectrum_distances(a, b, metrics.pair_k(a, b)))
+    own = free_name("own", df)
+    df = df.withColumn(own, F.pandas_udf(_scored, "edits long, same long, kmer_ks double, kmer_jsd double")(a, b))
+    same = F.when(F.length(t) == F.length(m), F.col(own)["same"] / F.length(t)).otherwise(F.lit(0.0))
     missing = t.isNull() | whole.isNull()
-    exact = F.when(missing, scores.nan()).when(full, scores.exact_match(t, m)).when((t == "") & (whole == ""), F.lit(1.0)).otherwise(F.lit(0.0))
+    exact = F.when(missing, scores.nan()).when(full, same).when((t == "") & (whole == ""), F.lit(1.0)).otherwise(F.lit(0.0))
     found = {
-        "edit_distance": F.when(full, scores.edit_distance(a, b)).otherwise(scores.nan()),
+        "edit_distance": F.when(full, F.col(own)["edits"] / F.length(t)).otherwise(scores.nan()),
         "exact_match_acc": exact,
-        "kmer_jsd": F.coalesce(F.col(gaps)["kmer_jsd"], scores.nan()),
-        "kmer_ks": F.coalesce(F.col(gaps)["kmer_ks"], scores.nan()),
+        "kmer_jsd": F.coalesce(F.col(own)["kmer_jsd"], scores.nan()),
+        "kmer_ks": F.coalesce(F.col(own)["kmer_ks"], scores.nan()),
         "is_cds": F.when(missing, F.lit(False)).otherwise(is_coding_region(whole)),
     }
-    return df.withColumns(found).drop(cut, gaps)
+    return df.withColumns(found).drop(cut, own)
 
 
 def row_metrics(df: DataFrame, key: str, truth: str = "ground_truth", made: str = "generated") -> DataFrame:

@@ -7,10 +7,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillstrand.functions import letters
+from quillstrand import catalogue
+from quillstrand.functions import letters, spectra
 from quillstrand.functions import sequence as sq
 from quillstrand.operators import metrics, providers
-from quillstrand.plans import likelihood
+from quillstrand.plans import completion, likelihood
 from quillstrand.shared import BATCH
 
 R = random.Random(5)
@@ -66,3 +67,35 @@ def test_providers_get_small_batches(spark):
         assert spark.conf.get(BATCH) == "8m"
     finally:
         spark.conf.set(BATCH, own)
+
+
+def test_masked_equals_the_plain_functions(texts):
+    table = {"a": "A", "C": "G", " ": "_"}
+    plain = F.regexp_replace(F.translate("t", "".join(table), "".join(table.values())), "[^ -~]", "#")
+    got = texts.select("id", letters.masked("t", table).alias("got"), plain.alias("want")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got] and {r["id"] for r in got if r["got"] is None} == {5}
+    assert not texts.limit(0).select(letters.masked("t", table)).collect()
+
+
+def test_pairs_go_to_python_once(spark, texts):
+    both = texts.crossJoin(texts.select(F.col("t").alias("m")))
+    found = completion.with_metrics(both, "t", "m")
+    assert plan_of(found).count("ArrowEvalPython") == 1
+    for r in found.collect():
+        same = [x == y for x, y in zip(r["t"] or "", r["m"] or "")]
+        if r["t"] and r["m"] and len(r["t"]) <= len(r["m"]):
+            assert r["exact_match_acc"] == sum(same) / len(r["t"])
+
+
+@pytest.mark.parametrize("t, m", [("", "A"), ("ACGNACGTACGTACGTACGTACGT", "AC" * 90), ("AC" * 600, "GT" * 90), ("漢a", "Aé")])
+def test_pair_k_equals_the_column(spark, t, m):
+    column = spark.createDataFrame([(t, m)], "t string, m string").select(metrics.pair_k(F.col("t"), F.col("m"))).first()[0]
+    assert spectra.pair_k(t, m) == column
+
+
+def test_tasks_of_pairs_are_not_merged(spark, tmp_path):
+    """Pairs of few bytes stay in as many tasks as their time asks for."""
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalogue.queries()["edit_distance"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
