@@ -206,6 +206,26 @@ def test_line_dedup_either_join(spark, monkeypatch, limit):
     assert sorted((str(r["doc_id"]), r["clean_text"], r["n_lines"], r["n_dropped"]) for r in got) == sorted(want)
 
 
+def test_line_dedup_shuffles_hashes(spark, monkeypatch):
+    """Rare lines aren't shuffled as texts, only frequent ones are; lines that share a hash are told apart."""
+    grouped = []
+    counted = line_dedup.boilerplate
+
+    def watched(*given):
+        out = counted(*given)
+        grouped.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(line_dedup, "boilerplate", watched)
+    rows = [(k, "\n".join(["menu", *(f"line {k} {j}" for j in range(20))]), "h") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_dedup.drop_boilerplate(docs)
+    assert "Join LeftSemi" in grouped[0][grouped[0].rindex("Aggregate [host") :]  # below the grouping of texts
+    assert sorted(r["n_dropped"] for r in got.collect()) == [1] * 100
+    monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *c: F.lit(7).cast("long"))  # all lines share one hash
+    assert sorted(map(tuple, line_dedup.drop_boilerplate(docs).collect())) == sorted(map(tuple, got.collect()))
+
+
 def test_clashing_columns(spark, tmp_path):
     rows = [(1, "A b", 5, "x", 7, 8), (2, "a B", 6, "y", 7, 8), (3, "c", None, None, 7, 8), (3, "c", None, None, 7, 8), (None, "d", 1, "z", 7, 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, own_sha long, shard string, number long, kept_id long")
