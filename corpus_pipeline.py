@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillstrand.llm import exact_dedup, jaccard_join, packing, pii, quality
 from quillstrand.llm.queries import train_quality
-from quillstrand.shared import discard, free_name, settled, small_batches
+from quillstrand.shared import SMALLEST, discard, free_name, settled, small_batches
 
 #: Documents that score lower are rejected: those likelier bad than good. op5's predicted asks for 0.7; between the two
 #: the pipeline keeps the document.
@@ -28,7 +28,7 @@ ORACLE_SQL = None  # learning, links and merges are beyond SQL; tests/llm/test_p
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of LEAST_QUALITY or more; empty texts have the score of a text without features. Where all
     labels that may be learnt from are one class, every document has that class's share: all are kept or none."""
-    small_batches(spark)
+    small_batches(spark, SMALLEST)
     score = free_name("score", docs)
     return quality.scored(docs, train_quality(spark, sf_dir), out=score).where(F.col(score) >= LEAST_QUALITY).drop(score)
 
@@ -40,19 +40,18 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest id; rows with a null id stay."""
-    small_batches(spark)
     return jaccard_join.drop_similar(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in text replaced by <kind>; no row goes."""
-    small_batches(spark)
+    small_batches(spark, SMALLEST)
     return pii.redacted(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of a document in a sequence; null and empty texts are the end id alone."""
-    small_batches(spark)
+    small_batches(spark, SMALLEST)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 
 from quillstrand.llm.components import connected_components
 from quillstrand.llm.hashing import scramble, word_hashes
-from quillstrand.shared import discard, stash
+from quillstrand.shared import SMALLEST, discard, small_batches, stash
 
 WORDS = 5
-#: Text turned into tokens at a time.
-CHUNK = 1 << 20
+#: Text turned into tokens at a time; its arrays take 40 bytes a byte, and a worker keeps what they took.
+CHUNK = 1 << 18
 #: The table of counts has a slot for about so many tokens, within these bounds (powers of two; 64 MB at most).
 PER_SLOT, LEAST_SLOTS, MOST_SLOTS = 64, 1 << 16, 1 << 24
 #: Tokens counted this often may be in large groups, and are joined; groups of the others are at most this large.
@@ -283,6 +283,7 @@ def similar_documents(docs: DataFrame, share: int = 75, words: int = WORDS, id_c
     are ignored; empty tables give no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark, SMALLEST)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = min(MOST_SLOTS, max(LEAST_SLOTS, _power_of_two(volume // (6 * PER_SLOT))))

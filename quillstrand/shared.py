@@ -74,10 +74,14 @@ def discard(df: DataFrame) -> None:
 BATCH, SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
-def small_batches(spark: SparkSession, size: str = "8m") -> None:
+#: What small_batches() sets: usually, and where many arrays are made from each batch.
+SMALL, SMALLEST = "8m", "2m"
+
+
+def small_batches(spark: SparkSession, size: str = SMALL) -> None:
     """Hand texts to Python in batches of size, so that the buffers on both sides stay small beside an executor's memory. A
-    session whose setting isn't Spark's own keeps it."""
-    if spark.conf.get(BATCH, SPARKS_OWN) == SPARKS_OWN:
+    session whose setting is neither Spark's own nor from here keeps it."""
+    if spark.conf.get(BATCH, SPARKS_OWN) in (SPARKS_OWN, SMALL, SMALLEST):
         spark.conf.set(BATCH, size)
 
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -188,6 +189,18 @@ def test_line_dedup(spark, empty):
     assert clean(least_pages=2) == {1: "one\n \r", 2: "two", 3: "menu"}
 
 
+def test_tokens_take_little_memory(spark, docs):
+    """Arrays of words are made for a part of a batch at a time, and batches are small."""
+    texts = [(BASE * 40).encode()] * 400
+    tracemalloc.start()
+    sets = jaccard_join.token_sets(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sets) == 400 and sum(map(len, texts)) > 2 << 20 and peak < 24 << 20
+    jaccard_join.similar_documents(docs)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "2m"
+
+
 @pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_line_dedup_either_join(spark, monkeypatch, limit):
     """Boilerplate lines by brute force, broadcast and in salted parts; repeated rows, null hosts and ids, clashing columns."""
