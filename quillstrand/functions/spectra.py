@@ -17,6 +17,8 @@ from quillstrand.functions.sequence import K_THRESHOLDS
 BROKEN = 4
 CODES = np.full(256, BROKEN, np.uint8)
 CODES[list(b"ACGT")] = range(4)
+#: k-mers are counted in an array of all types up to so many types a letter; beyond that they are sorted.
+TYPES_BY_LETTERS = 4
 
 
 def spectrum(text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -30,11 +32,18 @@ def spectrum(text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     for j in range(k):
         words *= 4
         words += codes[j : j + n] & 3
-    words = np.sort(words[bad[k:] == bad[:-k]])
-    starts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])[: len(words)])
-    times, types = np.unique(np.diff(np.append(starts, len(words))), return_counts=True)
+    words = words[bad[k:] == bad[:-k]]
+    if 4**k <= TYPES_BY_LETTERS * n:
+        seen = np.bincount(words, minlength=1)
+        seen = seen[seen > 0]
+    else:
+        words = np.sort(words)
+        starts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])[: len(words)])
+        seen = np.diff(np.append(starts, len(words)))
+    types = np.bincount(seen, minlength=1)
+    times = np.flatnonzero(types)
     total = 4.0**k
-    return np.concatenate([[0.0], times]), np.concatenate([[1 - len(starts) / total], types / total])
+    return np.concatenate([[0.0], times]), np.concatenate([[1 - len(seen) / total], types[times] / total])
 
 
 def distances(a: str, b: str, k: int) -> tuple[float, float, float]:

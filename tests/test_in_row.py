@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pyarrow as pa
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,15 @@ def test_tasks_of_pairs_are_not_merged(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     found = catalogue.queries()["edit_distance"](spark, str(tmp_path))
     assert found.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("k, sorts", [(3, 0), (13, 1)])
+def test_few_types_are_counted_without_a_sort(monkeypatch, k, sorts):
+    calls, plain = [], np.sort
+    monkeypatch.setattr(np, "sort", lambda *a, **b: calls.append(1) or plain(*a, **b))
+    text = "ACGTTGCAACNGGTAC" * 30 + "ACGTAGG"
+    times, shares = spectra.spectrum(text, k)
+    seen = Counter(w for w in (text[j : j + k] for j in range(len(text) - k + 1)) if "N" not in w)
+    want = Counter(seen.values()) + Counter({0: 4**k - len(seen)})
+    assert dict(zip(times.tolist(), shares.tolist())) == pytest.approx({n: c / 4**k for n, c in want.items()})
+    assert len(calls) == sorts
