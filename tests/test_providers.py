@@ -1,4 +1,5 @@
 import math
+import os
 
 import pandas as pd
 import pytest
@@ -90,3 +91,22 @@ def test_setup_runs_once_for_each_worker(spark, tmp_path):
     for _ in range(2):
         assert providers.run(rows, "counted", "seq", batch=10, options={"path": str(tmp_path / "n")}).agg(F.sum("x")).first()[0] == 3000
     assert len((tmp_path / "n").read_text()) <= 4  # workers that Spark holds ready, whatever the number of batches
+
+
+def test_a_worker_does_not_grow_with_its_task(spark):
+    """64 MB of texts in one task take little more memory of the worker than 1 MB; whole batches of Spark's own size don't."""
+
+    @providers.provider("resident", "x long")
+    def resident():
+        def score(texts):
+            with open("/proc/self/statm") as f:
+                return pd.DataFrame({"x": [int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20] * len(texts)}, dtype="int64")
+
+        return score
+
+    def most(n):
+        rows = spark.range(0, n, 1, 1).select("id", F.repeat(F.lit("ACGT"), 25_000).alias("seq"))
+        return providers.run(rows, "resident", "seq").agg(F.max("x")).first()[0]
+
+    few = most(10)
+    assert most(640) - few < 50
